@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op2_decontaminate": "decontaminate",
+    "op5_language": "language",
     "op9_token_counts": "tokens",
     "op10_pack": "packing",
 }
