@@ -2,7 +2,7 @@
 
 Characters are lowered and everything but letters becomes a space; bigrams and trigrams are
 hashed into `buckets` cells. Training counts come from a bounded sample of the labelled rows
-(at most about `max_train_docs` whole texts, drawn by a hash of the id; documented bound), and
+(`max_train_docs` whole texts in expectation, drawn by a hash of id and text), and
 give one log-probability row per cell and one column per language. That matrix has a fixed
 size (buckets x languages, float32), is broadcast, and a batch of texts is scored by gathering
 its cells' rows and summing them per document.
@@ -103,11 +103,11 @@ class Model:
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int = MAX_TRAIN_DOCS, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Model:
-    """Counts cells per language over a sample of about max_docs rows, at most twice as many."""
+    """Counts cells per language over a sample of max_docs rows in expectation, drawn by hash."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = known.count()
     share = min(1.0, max_docs / n) if n else 1.0
-    sample = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * max_docs)
+    sample = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, np.ndarray] = {}

@@ -6,7 +6,9 @@ from importlib import import_module
 
 _QUERIES = {
     "op2_decontaminate": "decontaminate",
+    "op3_personal_data": "pii",
     "op5_language": "language",
+    "op6_media": "media",
     "op9_token_counts": "tokens",
     "op10_pack": "packing",
 }
