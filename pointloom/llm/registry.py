@@ -9,6 +9,7 @@ _QUERIES = {
     "op3_personal_data": "pii",
     "op5_language": "language",
     "op6_media": "media",
+    "op7_main_text": "html",
     "op9_token_counts": "tokens",
     "op10_pack": "packing",
 }
