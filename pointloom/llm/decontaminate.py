@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,6 +182,27 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return df.mapInArrow(_summary, f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean").withColumnRenamed("id", id_col)
 
 
+def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents, all columns, in which no item window occurs; one pass for each block."""
+    spark, df, at, n = documents.sparkSession, documents, documents.columns.index(text_col), 0
+    for rows in blocks(benchmark, item_col, item_text, block_bytes):
+        if n:
+            shared_dir(spark)
+            df = df.checkpoint()
+        df, n = df.mapInArrow(_clean(spark.sparkContext.broadcast(Fingerprints(rows)), at), documents.schema), n + 1
+    return df
+
+
+def _clean(block, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["id", "text"])
+            for found_rows in _scan(block, False)(iter([rows])):
+                yield batch.filter(pc.invert(found_rows.column(5)))
+
+    return run
+
+
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts and digests of the hits that all blocks have left in a row."""
     for batch in batches:

@@ -150,6 +150,21 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return arrow_map(df, [id_col, text_col], run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose language is identified with a score of at least `least`."""
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ok = texts(batch.column(at)), []
+            for i, j in slices([len(x) for x in rows]):
+                langs, scores = shared.value.predict(rows[i:j])
+                ok += [lang != "und" and score >= least for lang, score in zip(langs, scores)]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(keyed_mod("doc_id", 4) != 2), "doc_id", "text", "lang")

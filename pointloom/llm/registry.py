@@ -7,9 +7,11 @@ from importlib import import_module
 _QUERIES = {
     "op2_decontaminate": "decontaminate",
     "op3_personal_data": "pii",
+    "op4_near_duplicates": "neardup",
     "op5_language": "language",
     "op6_media": "media",
     "op7_main_text": "html",
+    "op8_line_dedup": "lines",
     "op9_token_counts": "tokens",
     "op10_pack": "packing",
 }
