@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op1_brown": "brown",
     "op2_decontaminate": "decontaminate",
     "op3_personal_data": "pii",
     "op4_near_duplicates": "neardup",
