@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+_MODULES = ("profiles", "ledgers", "packages", "states", "coding", "scenes", "jobs")
+
+
+def _load() -> None:
+    for name in _MODULES:
+        import_module(f"pointloom.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    from pointloom.plans.named import QUERIES
+
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pointloom.plans.named import ORACLE
+
+    _load()
+    return dict(ORACLE)
