@@ -77,27 +77,9 @@ def quaternion_product(a: list[Column], b: list[Column]) -> list[Column]:
     return [w * p - x * q - y * r - z * s, w * q + x * p + y * s - z * r, w * r - x * s + y * p + z * q, w * s + x * r - y * q + z * p]
 
 
-def rotation_residual(a: list[Column], b: list[Column]) -> list[Column]:
-    """Rotation vector that takes unit(a) to unit(b), of the principal angle."""
-    ua, ub = unit(a), unit(b)
-    q = quaternion_product(ub, [ua[0], -ua[1], -ua[2], -ua[3]])
-    flip = F.when(q[0] < 0, -1.0).otherwise(1.0)
-    w, v = q[0] * flip, [x * flip for x in q[1:]]
-    n = norm(v)
-    factor = F.when(n < 1e-12, F.lit(2.0)).otherwise(2 * F.atan2(n, w) / F.when(n > 0, n))
-    return [x * factor for x in v]
-
-
-def turned(vec: list[Column], a: list[Column]) -> list[Column]:
-    """Unit quaternion of the rotation by vec after a."""
-    angle = norm(vec)
-    factor = F.when(angle < 1e-12, F.lit(0.5)).otherwise(F.sin(angle / 2) / F.when(angle > 0, angle))
-    return quaternion_product([F.cos(angle / 2), *[x * factor for x in vec]], unit(a))
-
-
 def rotation_matrix(q: list[Column]) -> list[list[Column]]:
-    """3 x 3 matrix of a quaternion (w, x, y, z), normalised first."""
-    w, x, y, z = unit(q)
+    """3 x 3 matrix of a unit quaternion (w, x, y, z)."""
+    w, x, y, z = q
     return [
         [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)],
         [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)],
