@@ -110,6 +110,43 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield keys.ravel(), np.repeat(nodes[i:j], keys.shape[1])
 
 
+def keys_of(lines: list[str]) -> np.ndarray:
+    return band_keys(signatures(lines))
+
+
+def compare(lines: list[str], threshold: float = THRESHOLD):
+    """Exact Jaccard similarities of blocks of lines, as a product of their shingle incidence matrices."""
+    hashes, line = shingles(lines)
+    code, cell = np.unique(hashes, return_inverse=True)
+    pair = np.unique(line * len(code) + cell)
+    line, cell = pair // max(len(code), 1), pair % max(len(code), 1)
+    sizes = np.bincount(line, minlength=len(lines))
+    begins = np.searchsorted(line, np.arange(len(lines) + 1))
+
+    def block(x: np.ndarray, y: np.ndarray, mask: np.ndarray, _) -> np.ndarray:
+        low, high = np.minimum(sizes[x][:, None], sizes[y][None, :]), np.maximum(sizes[x][:, None], sizes[y][None, :])
+        mask = mask & (low >= threshold * high)
+        if not mask.any():
+            return mask
+        x_at, y_at = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+        cells = [np.concatenate([cell[begins[i] : begins[i + 1]] for i in own]) for own in (x[x_at], y[y_at])]
+        shared = np.intersect1d(*cells)
+        both = []
+        for own, all_cells in zip((x[x_at], y[y_at]), cells):
+            place = np.minimum(np.searchsorted(shared, all_cells), max(len(shared) - 1, 0))
+            there = shared[place] == all_cells if len(shared) else np.zeros(len(all_cells), bool)
+            m = np.zeros((len(own), len(shared)), np.float32)
+            m[np.repeat(np.arange(len(own)), sizes[own])[there], place[there]] = 1
+            both.append(m)
+        common = both[0] @ both[1].T
+        out = np.zeros(mask.shape, bool)
+        part = common >= threshold * (sizes[x[x_at]][:, None] + sizes[y[y_at]][None, :] - common) - 1e-9
+        out[np.ix_(x_at, y_at)] = part
+        return out & mask
+
+    return block
+
+
 def jaccard(a: list[str], b: list[str], threshold: float = THRESHOLD) -> np.ndarray:
     """Whether the exact Jaccard similarity of the shingle sets reaches the threshold."""
 
@@ -142,7 +179,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     edges = bucket_edges(occurrences.select("node", "line"), _sign)
     nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = saved(occurrences.select("node", F.col("line").alias("text")).join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    comps = linked(edges, texts, jaccard, signatures, THRESHOLD)
+    comps = linked(edges, texts, jaccard, keys_of, compare)
     # Lines that occur once and have no link need no further step.
     places = occurrences.select("node", F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_at").alias("place"))
     labelled = places.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))

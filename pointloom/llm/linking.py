@@ -7,9 +7,10 @@
 3. Edges are verified on the real texts; verified ones are links.
 4. Components come from alternating large-star and small-star steps (joins and aggregates).
 5. A key whose nodes ended in several components may hide links between them, as only edges
-   of the tree were compared. All pairs of its nodes in different components are compared by
-   their signatures, block by block inside a task, and those that may reach the threshold are
-   verified too. Then step 4 runs again over all links.
+   of the tree were compared. All pairs of its nodes in different components are verified,
+   block by block inside tasks that take a bounded part of a key's pairs each; a task returns
+   only the links that connect something. Then step 4 runs again over all links. So no link
+   between nodes that share a key is lost, and no list of a key's pairs is ever made.
 
 Nodes are 64-bit hashes of texts, so copies are one node from the start.
 """
@@ -30,8 +31,8 @@ from pointloom.session import shared_dir
 FLUSH, SPREAD = 1 << 20, 4
 #: Rows up to which a table of (id) or (id, short list) is broadcast: at most some tens of MB.
 BROADCAST_ROWS = 500_000
-#: Signatures compared at once.
-BLOCK = 256
+#: Nodes of a block whose pairs are compared at once; nodes of a bucket that one task takes.
+BLOCK, CHUNK_ROWS = 64, 1024
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -162,54 +163,73 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: Callable[[list, list],
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def close_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, comp, signature) ordered by key -> pairs of one key whose signatures agree enough."""
+def cross_links(batches: Iterator[pa.RecordBatch], keys_of: Callable[[list], np.ndarray], compare: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows (key, lo, hi, chunk, node, comp, text) ordered by (key, lo, hi) -> links between components.
+
+    A pair that shares several keys is compared under the first of them only, and not at all
+    once its ends are connected. compare(texts) gives a function of two index blocks and a
+    mask of pairs that returns which of these are similar, exactly.
+    """
     now, rows = None, []
 
     def done() -> Iterator[pa.RecordBatch]:
-        if len(rows) > 1:
-            nodes, comps = np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64)
-            signs = np.stack([np.frombuffer(x[2], np.uint32) for x in rows])
-            for i in range(0, len(rows), BLOCK):
-                for j in range(i, len(rows), BLOCK):
-                    x, y = signs[i : i + BLOCK], signs[j : j + BLOCK]
-                    same = np.zeros((len(x), len(y)), np.int32)
-                    for r in range(signs.shape[1]):
-                        same += x[:, r, None] == y[None, :, r]
-                    a, b = np.nonzero((same >= least * signs.shape[1]) & (comps[i : i + BLOCK, None] != comps[None, j : j + BLOCK]))
-                    if len(a):
-                        a, b = nodes[i + a], nodes[j + b]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        if len({r[2] for r in rows}) > 1:
+            key, lo, hi = now
+            chunk = np.array([r[0] for r in rows])
+            keys, similar = keys_of([r[3] for r in rows]), compare([r[3] for r in rows])
+            label = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
+            own = np.array([label[r[2]] for r in rows])
+            links: list[tuple[int, int]] = []
+            first, second = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+            for i in range(0, len(first), BLOCK):
+                for j in range(i if lo == hi else 0, len(second), BLOCK):
+                    x, y = first[i : i + BLOCK], second[j : j + BLOCK]
+                    mask = own[x][:, None] != own[y][None, :]
+                    if lo == hi and i == j:
+                        mask &= x[:, None] < y[None, :]
+                    if not mask.any():
+                        continue
+                    # The first band that both share must be this bucket's.
+                    open_ = mask.copy()
+                    for band in range(keys.shape[1]):
+                        same = open_ & (keys[x, band][:, None] == keys[y, band][None, :])
+                        mask &= ~same | (keys[x, band][:, None] == key)
+                        open_ &= ~same
+                    mask &= ~open_
+                    if not mask.any():
+                        continue
+                    for p, q in zip(*np.nonzero(similar(x, y, mask, own))):
+                        p, q = x[p], y[q]
+                        if own[p] != own[q]:
+                            links.append((rows[p][1], rows[q][1]))
+                            own[own == own[q]] = own[p]
+            if links:
+                ends = np.array(links, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"])
         rows.clear()
 
     for batch in batches:
-        for key, node, comp, sign in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != now:
+        for key, lo, hi, chunk, node, comp, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, lo, hi) != now:
                 yield from done()
-                now = key
-            rows.append((node, comp, sign))
+                now = (key, lo, hi)
+            rows.append((chunk, node, comp, text))
     yield from done()
 
 
-def linked(edges: DataFrame, texts: DataFrame, similar: Callable, signature: Callable[[list], np.ndarray], threshold: float) -> DataFrame:
+def linked(edges: DataFrame, texts: DataFrame, similar: Callable, keys_of: Callable[[list], np.ndarray], compare: Callable) -> DataFrame:
     """(node, comp) of all nodes with a link; steps 3 to 5."""
-    tried = edges.select("a", "b").distinct()
-    links = saved(verified(tried, texts, similar))
+    links = saved(verified(edges.select("a", "b").distinct(), texts, similar))
     comps = components(links)
     members = edges.select("key", F.col("a").alias("node")).union(edges.select("key", "b")).distinct().join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    open_ = saved(members.join(mixed, "key", "left_semi"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in signature(batch.column(1).to_pylist())], pa.binary())], names=["node", "signature"])
-
-    nodes = open_.select("node").distinct()
-    signs = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node bigint, signature binary")
+    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
+    # A large bucket is cut into chunks, and each pair of chunks is a task's work of its own.
+    chunks = F.ceil(F.col("n") / CHUNK_ROWS)
+    open_ = members.join(mixed, "key").select("key", "node", "comp", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).alias("chunk"))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp")
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = open_.join(signs, "node").select("key", "node", "comp", "signature").repartition(width, "key").sortWithinPartitions("key")
-    more = rows.mapInArrow(lambda b: close_pairs(b, threshold - 0.2), "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
-    more = saved(verified(more, texts, similar))
+    rows = dealt.join(texts.select("node", "text"), "node").select("key", "lo", "hi", "chunk", "node", "comp", "text").repartition(width, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    more = saved(rows.mapInArrow(lambda b: cross_links(b, keys_of, compare), "a bigint, b bigint").distinct())
     if more.isEmpty():
         return comps
     return components(links.union(more))

@@ -164,6 +164,31 @@ def similar(a: list[str], b: list[str], threshold: float = THRESHOLD) -> np.ndar
     return out
 
 
+def keys_of(rows: list[str]) -> np.ndarray:
+    return band_keys(signatures(rows), BANDS)
+
+
+def compare(rows: list[str], threshold: float = THRESHOLD):
+    """Exact similarities of pairs whose signatures do not rule them out (64 registers, four deviations)."""
+    signs, weighted = signatures(rows), [_weighted(x) for x in rows]
+
+    def block(x: np.ndarray, y: np.ndarray, mask: np.ndarray, own: np.ndarray) -> np.ndarray:
+        same = np.zeros(mask.shape, np.int32)
+        for r in range(signs.shape[1]):
+            same += signs[x, r][:, None] == signs[y, r][None, :]
+        mask = mask & (same >= (threshold - 0.2) * signs.shape[1])
+        out = np.zeros(mask.shape, bool)
+        label = own.copy()
+        pairs = np.argwhere(mask)
+        for p, q in pairs[np.argsort(-same[mask], kind="stable")].tolist():
+            if label[x[p]] != label[y[q]] and probability_jaccard(weighted[x[p]], weighted[y[q]]) >= threshold - 1e-12:
+                out[p, q] = True
+                label[label == label[y[q]]] = label[x[p]]
+        return out
+
+    return block
+
+
 def _named(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +214,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = held.join(small(lenders.withColumnRenamed("id", "own")), F.col("id").eqNullSafe(F.col("own")), "left_semi")
     own_texts = held.mapInArrow(_named(True), f"id {kind}, node bigint, text string").join(small(nodes), "node", "left_semi")
     own_texts = saved(own_texts.groupBy("node").agg(F.first("text").alias("text")))
-    comps = linked(edges, own_texts, similar, signatures, THRESHOLD)
+    comps = linked(edges, own_texts, similar, keys_of, compare)
     labelled = named.join(small(comps), "node", "left").select("id", F.coalesce("comp", "node").alias("comp"))
     groups = labelled.groupBy("comp").agg(F.min("id").alias("group_id"), F.count("*").alias("n_group")).where("n_group > 1")
     out = labelled.join(small(groups), "comp", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_group", F.lit(1)).cast("bigint").alias("n_group"))
