@@ -148,20 +148,19 @@ def compare(lines: list[str], threshold: float = THRESHOLD):
 
 
 def jaccard(a: list[str], b: list[str], threshold: float = THRESHOLD) -> np.ndarray:
-    """Whether the exact Jaccard similarity of the shingle sets reaches the threshold."""
-
-    def own(x: str) -> set[str]:
-        return {x[i : i + K] for i in range(max(len(x) - K + 1, 1))}
-
+    """Whether the exact Jaccard similarity of the shingle sets reaches the threshold, pair by pair."""
     out = np.zeros(len(a), bool)
-    last: tuple[str | None, set[str]] = (None, set())
-    for i, (x, y) in enumerate(zip(a, b)):
-        if x != last[0]:
-            last = (x, own(x))
-        p, q = last[1], own(y)
-        if min(len(p), len(q)) >= threshold * max(len(p), len(q)):
-            both = len(p & q)
-            out[i] = both >= threshold * (len(p) + len(q) - both)
+    for at in range(0, len(a), 2048):
+        sizes = [len(x) + len(y) for x, y in zip(a[at : at + 2048], b[at : at + 2048])]
+        for i, j in slices(sizes, LONG):
+            sets = []
+            for side in (a, b):
+                hashes, pair = shingles(side[at + i : at + j])
+                # 11 bits for the pair and 53 of the shingle's hash: sets of a pair are told apart by them.
+                sets.append(np.unique((pair.astype(U64) << U64(53)) | (hashes >> U64(11))))
+            n = [np.bincount((x >> U64(53)).astype(np.int64), minlength=j - i) for x in sets]
+            both = np.bincount((np.intersect1d(*sets, assume_unique=True) >> U64(53)).astype(np.int64), minlength=j - i)
+            out[at + i : at + j] = both >= threshold * (n[0] + n[1] - both) - 1e-9
     return out
 
 
@@ -181,7 +180,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = saved(occurrences.select("node", F.col("line").alias("text")).join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     comps = linked(edges, texts, jaccard, keys_of, compare)
     # Lines that occur once and have no link need no further step.
-    places = occurrences.select("node", F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_at").alias("place"))
+    places = saved(occurrences.select("node", F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_at").alias("place")))
     labelled = places.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = labelled.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
     gone = labelled.join(first, "comp").where("place != first").groupBy(F.col("place._row").alias("_row")).agg(F.collect_set("place._at").alias("_gone"))
