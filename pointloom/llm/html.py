@@ -177,8 +177,8 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
                 blocks.append([])
             elif x == "br" and content:
                 blocks[-1].append(" ")
-            # Inside the marked element every block is content; elsewhere tags cost their weight.
-            scores.append(0.0 if marked and good and not bad else weights.get(x, tag))
+            # Inside the marked element all that is not boilerplate is content; elsewhere tags cost their weight.
+            scores.append(0.0 if marked and good else weights.get(x, tag))
             place.append(len(blocks) - 1)
     begin, end = region(scores)
     if begin == end:
