@@ -28,7 +28,7 @@ from pointloom.llm.common import CHUNK, arrow_map, slices, texts
 from pointloom.session import table
 
 #: Bytes of a chunk, of the first overlap, entries of a memo, longest remembered run.
-CHUNK_BYTES, OVERLAP_BYTES, MEMO, LONGEST = 1 << 16, 256, 600_000, 64
+CHUNK_BYTES, OVERLAP_BYTES, MEMO, LONGEST = 1 << 16, 256, 250_000, 64
 _SPACE_SET = {b" ", b"\t", b"\n", b"\v", b"\f", b"\r"}
 _RUN = re.compile(rb"[^ \t\n\v\f\r]+")
 #: Characters that the normaliser keeps or lowers one by one, whatever stands beside them.
@@ -177,7 +177,11 @@ def batch_ids(column: pa.Array, memo: Memo) -> Iterator[tuple[bytes, bytes]]:
     A text of one chunk whose characters are all plain is cut straight into parts, any other
     goes through document_ids.
     """
-    rows = texts(column)
+    for at in range(0, len(column), 512):
+        yield from _some_ids(texts(column.slice(at, 512)), memo)
+
+
+def _some_ids(rows: list[bytes], memo: Memo) -> Iterator[tuple[bytes, bytes]]:
     for i, j in slices([len(x) for x in rows], CHUNK):
         cut: list[list[str] | None] = [None] * (j - i)
         if memo.cuts:
