@@ -28,11 +28,12 @@ from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pointloom.llm.common import arrow_map
 from pointloom.session import table
 
-#: Labelled pages that weights are learned from, at most.
+#: Labelled pages that weights are learned from, in expectation.
 MAX_LABELLED = 2000
 # No alternative but a comment or CDATA section runs past the next "<", so scanning is linear.
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+')*+)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>", re.S)
@@ -189,8 +190,11 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """id, kept columns, text, n_chars. Weights come from up to max_labelled pages, by id (documented bound)."""
-    sample = pages.where(f"`{html_col}` rlike '(?i)<(article|main)[ >]'").orderBy(id_col).limit(max_labelled).select(html_col)
+    """id, kept columns, text, n_chars. Weights come from max_labelled pages in expectation, drawn by hash (documented bound)."""
+    n = pages.count()
+    share = int(min(1.0, max_labelled / n) * (1 << 20)) + 1 if n else 1
+    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(html_col)), F.lit(1 << 20)) < share
+    sample = pages.where(drawn).where(f"`{html_col}` rlike '(?i)<(article|main)[ >]'").select(html_col)
     weights = learn([row[0] for row in sample.toLocalIterator()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
