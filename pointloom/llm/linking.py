@@ -168,45 +168,75 @@ def cross_links(batches: Iterator[pa.RecordBatch], keys_of: Callable[[list], np.
 
     A pair that shares several keys is compared under the first of them only, and not at all
     once its ends are connected. compare(texts) gives a function of two index blocks and a
-    mask of pairs that returns which of these are similar, exactly.
+    mask of pairs that returns which of these are similar, exactly. Small buckets are worked
+    off some hundred at a time; texts that no pair is left for are not looked at.
     """
     now, rows = None, []
+    held: list[tuple[int, int, int, list]] = []
+    size = 0
+
+    def blocks(key: int, lo: int, hi: int, chunk: np.ndarray, own: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Index blocks of a bucket and their pairs that are to be compared here."""
+        first, second = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+        for i in range(0, len(first), BLOCK):
+            for j in range(i if lo == hi else 0, len(second), BLOCK):
+                x, y = first[i : i + BLOCK], second[j : j + BLOCK]
+                mask = own[x][:, None] != own[y][None, :]
+                if lo == hi and i == j:
+                    mask &= x[:, None] < y[None, :]
+                if not mask.any():
+                    continue
+                # The first band that both share must be this bucket's.
+                same = keys[x][:, None, :] == keys[y][None, :, :]
+                mask &= same.any(2) & (keys[x][np.arange(len(x))[:, None], same.argmax(2)] == key)
+                if mask.any():
+                    yield x, y, mask
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        if not held:
+            return
+        every = [r for _, _, _, own in held for r in own]
+        keys, at, todo, needed = keys_of([r[3] for r in every]), 0, [], set()
+        for key, lo, hi, bucket in held:
+            n = len(bucket)
+            label = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in bucket))}
+            own = np.array([label[r[2]] for r in bucket])
+            for x, y, mask in blocks(key, lo, hi, np.array([r[0] for r in bucket]), own, keys[at : at + n]):
+                todo.append((at, own, x, y, mask))
+                needed.update((at + x[mask.any(1)]).tolist(), (at + y[mask.any(0)]).tolist())
+            at += n
+        links: list[tuple[int, int]] = []
+        if todo:
+            order = np.array(sorted(needed))
+            place = np.full(len(every), -1)
+            place[order] = np.arange(len(order))
+            similar = compare([every[i][3] for i in order.tolist()])
+            for at, own, x, y, mask in todo:
+                mask = mask & (own[x][:, None] != own[y][None, :])
+                p, q = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+                if not len(p):
+                    continue
+                x, y = x[p], y[q]
+                for i, j in zip(*np.nonzero(similar(place[at + x], place[at + y], mask[np.ix_(p, q)], (own[x], own[y])))):
+                    i, j = x[i], y[j]
+                    if own[i] != own[j]:
+                        links.append((every[at + i][1], every[at + j][1]))
+                        own[own == own[j]] = own[i]
+        held.clear()
+        size = 0
+        if links:
+            ends = np.array(links, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"])
 
     def done() -> Iterator[pa.RecordBatch]:
+        nonlocal rows, size
         if len({r[2] for r in rows}) > 1:
-            key, lo, hi = now
-            chunk = np.array([r[0] for r in rows])
-            keys, similar = keys_of([r[3] for r in rows]), compare([r[3] for r in rows])
-            label = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
-            own = np.array([label[r[2]] for r in rows])
-            links: list[tuple[int, int]] = []
-            first, second = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
-            for i in range(0, len(first), BLOCK):
-                for j in range(i if lo == hi else 0, len(second), BLOCK):
-                    x, y = first[i : i + BLOCK], second[j : j + BLOCK]
-                    mask = own[x][:, None] != own[y][None, :]
-                    if lo == hi and i == j:
-                        mask &= x[:, None] < y[None, :]
-                    if not mask.any():
-                        continue
-                    # The first band that both share must be this bucket's.
-                    open_ = mask.copy()
-                    for band in range(keys.shape[1]):
-                        same = open_ & (keys[x, band][:, None] == keys[y, band][None, :])
-                        mask &= ~same | (keys[x, band][:, None] == key)
-                        open_ &= ~same
-                    mask &= ~open_
-                    if not mask.any():
-                        continue
-                    for p, q in zip(*np.nonzero(similar(x, y, mask, own))):
-                        p, q = x[p], y[q]
-                        if own[p] != own[q]:
-                            links.append((rows[p][1], rows[q][1]))
-                            own[own == own[q]] = own[p]
-            if links:
-                ends = np.array(links, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"])
-        rows.clear()
+            held.append((*now, rows))
+            size += len(rows)
+        rows = []
+        if size >= CHUNK_ROWS:
+            yield from flush()
 
     for batch in batches:
         for key, lo, hi, chunk, node, comp, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -215,6 +245,7 @@ def cross_links(batches: Iterator[pa.RecordBatch], keys_of: Callable[[list], np.
                 now = (key, lo, hi)
             rows.append((chunk, node, comp, text))
     yield from done()
+    yield from flush()
 
 
 def linked(edges: DataFrame, texts: DataFrame, similar: Callable, keys_of: Callable[[list], np.ndarray], compare: Callable) -> DataFrame:
@@ -222,7 +253,9 @@ def linked(edges: DataFrame, texts: DataFrame, similar: Callable, keys_of: Calla
     links = saved(verified(edges.select("a", "b").distinct(), texts, similar))
     comps = components(links)
     members = edges.select("key", F.col("a").alias("node")).union(edges.select("key", "b")).distinct().join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n")
+    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"))
+    # The only pair of a bucket of two is its edge, which was verified.
+    mixed = mixed.where("x != y and n > 2").select("key", "n")
     # A large bucket is cut into chunks, and each pair of chunks is a task's work of its own.
     chunks = F.ceil(F.col("n") / CHUNK_ROWS)
     open_ = members.join(mixed, "key").select("key", "node", "comp", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).alias("chunk"))

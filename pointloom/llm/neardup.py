@@ -172,18 +172,20 @@ def compare(rows: list[str], threshold: float = THRESHOLD):
     """Exact similarities of pairs whose signatures do not rule them out (64 registers, four deviations)."""
     signs, weighted = signatures(rows), [_weighted(x) for x in rows]
 
-    def block(x: np.ndarray, y: np.ndarray, mask: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def block(x: np.ndarray, y: np.ndarray, mask: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         same = np.zeros(mask.shape, np.int32)
         for r in range(signs.shape[1]):
             same += signs[x, r][:, None] == signs[y, r][None, :]
         mask = mask & (same >= (threshold - 0.2) * signs.shape[1])
         out = np.zeros(mask.shape, bool)
-        label = own.copy()
+        rows_of, columns_of = (x.copy() for x in own)  # labels of the parts that are connected so far
         pairs = np.argwhere(mask)
         for p, q in pairs[np.argsort(-same[mask], kind="stable")].tolist():
-            if label[x[p]] != label[y[q]] and probability_jaccard(weighted[x[p]], weighted[y[q]]) >= threshold - 1e-12:
+            if rows_of[p] != columns_of[q] and probability_jaccard(weighted[x[p]], weighted[y[q]]) >= threshold - 1e-12:
                 out[p, q] = True
-                label[label == label[y[q]]] = label[x[p]]
+                new, old = rows_of[p], columns_of[q]
+                rows_of[rows_of == old] = new
+                columns_of[columns_of == old] = new
         return out
 
     return block
