@@ -31,6 +31,8 @@ from pointloom.session import shared_dir
 FLUSH, SPREAD = 1 << 20, 4
 #: Rows up to which a table of (id) or (id, short list) is broadcast: at most some tens of MB.
 BROADCAST_ROWS = 500_000
+#: Edges in a file of a saved step.
+FILE_ROWS = 100_000
 #: Nodes of a block whose pairs are compared at once; nodes of a bucket that one task takes.
 BLOCK, CHUNK_ROWS = 64, 1024
 
@@ -141,10 +143,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.least(F.col("hi"), F.min("lo")).alias("m"))
-        large = both.where("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
+        large = both.where("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         star = large.join(least, "hi")
-        edges = saved(star.select("hi", F.col("m").alias("lo")).union(star.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct())
+        star = star.select("hi", F.col("m").alias("lo")).union(star.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
+        # As many files as the edges need, not one for each shuffle partition.
+        edges = saved(star.coalesce(state[0] // FILE_ROWS + 1) if state else star)
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40)))).first()
         if tuple(now) == state:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(edges.select("lo", "lo").distinct())
