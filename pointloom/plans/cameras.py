@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import cameras as K
 from pointloom.functions.columns import norm, sigmoid, snap, vector
-from pointloom.plans.named import named
+from pointloom.plans.named import ORACLE, named
 from pointloom.plans.profiles import s
 from pointloom.session import table
 
@@ -61,6 +61,13 @@ def learning_rate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("event_id % 10 = 0").select("event_id", snap(1000 * rate).alias("rate"))
 
 
+@named("learning_rate_all", ORACLE["learning_rate"].replace(" where event_id % 10 = 0", ""))
+def learning_rate_all(spark: SparkSession, sf: str) -> DataFrame:
+    """learning_rate of all events."""
+    rate = K.learning_rate(F.col("event_id"), 0.016, 0.00016, 3000, 500, 0.01)
+    return table(spark, sf, "events").select("event_id", snap(1000 * rate).alias("rate"))
+
+
 @named("target_width", "select p_partkey, round_even(p_size * 97 / 4.0::double, 0)::bigint as quarter, least(p_size * 97, 1600)::bigint as capped, 640::bigint as fixed from part")
 def target_width(spark: SparkSession, sf: str) -> DataFrame:
     w = F.col("p_size") * 97

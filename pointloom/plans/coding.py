@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.columns import index_bytes, index_kind, packed_bytes, snap
 from pointloom.operators import coding
-from pointloom.plans.named import named
+from pointloom.plans.named import ORACLE, named
 from pointloom.plans.profiles import s
 from pointloom.session import table
 
@@ -114,6 +114,13 @@ def closed_loop_temporal(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", "event_id", "q", "decoded", (F.col("error") <= 0.25 + 1e-9).alias("within"))
 
 
+@named("closed_loop_temporal_all", ORACLE["closed_loop_temporal"].replace(" where user_id <= 20", ""))
+def closed_loop_temporal_all(spark: SparkSession, sf: str) -> DataFrame:
+    """closed_loop_temporal over the events of all users."""
+    out = coding.closed_loop(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 0.5)
+    return out.select("user_id", "event_id", "q", "decoded", (F.col("error") <= 0.25 + 1e-9).alias("within"))
+
+
 @named(
     "content_hash_dedupe",
     "select sha256(text) as digest, count(*) as copies, min(doc_id) as first_doc from documents group by 1",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.columns import safe_path, snap
 from pointloom.operators import jobs
-from pointloom.plans.named import named
+from pointloom.plans.named import ORACLE, named
 from pointloom.plans.profiles import s
 from pointloom.session import table
 
@@ -53,6 +53,13 @@ def ema_fold(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("average", snap(F.col("average")))
 
 
+@named("ema_fold_all", ORACLE["ema_fold"].replace(" where user_id < 30", ""))
+def ema_fold_all(spark: SparkSession, sf: str) -> DataFrame:
+    """ema_fold over the events of all users."""
+    out = jobs.moving_average(table(spark, sf, "events"), ["user_id"], "event_id", "value")
+    return out.withColumn("average", snap(F.col("average")))
+
+
 @named("stride_sample", "with p as (select c_custkey, row_number() over (order by c_custkey) - 1 as p, count(*) over () as n from customer) select c_custkey from p where p in (select floor(i * n / 40)::bigint from range(40) r(i))")
 def stride_sample(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.stride_sample(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 40)
