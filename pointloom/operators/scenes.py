@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.columns import norm, psnr, quaternion_product
+from pointloom.session import shared_dir
 
 
 def camera_spread(cameras: DataFrame, centre: Sequence[str]) -> DataFrame:
@@ -82,6 +83,43 @@ def nearest_scale(points: DataFrame, id_col: str, axes: Sequence[str], cell: flo
     return near.groupBy(id_col).agg(F.count("*").alias("found"), F.log(F.sqrt(F.greatest(F.avg("_d"), F.lit(1e-7)))).alias("log_scale"))
 
 
+def _saved(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def nearest_scale_exact(points: DataFrame, id_col: str, axes: Sequence[str], cell: float, k: int = 3) -> DataFrame:
+    """nearest_scale over the k true nearest neighbours of each point; `found` is under k only if there are no more points.
+
+    The 27 cells around a point hold every point within one cell size. Where the k-th distance is larger
+    (or fewer are found), the search is repeated in cells of twice the size, until one block holds the whole cloud.
+    """
+    points = _saved(points.select(id_col, *axes))
+    ends = points.agg(*(F.max(F.when(F.abs(a) < float("inf"), F.abs(a))) for a in axes)).first()
+    extent = 2 * max((x for x in ends if x is not None), default=0.0)
+    own, out = points, None
+    while True:
+        size = cell
+        low = lambda df: [F.floor(F.col(a) / size).alias(f"v{i}") for i, a in enumerate(axes)]  # noqa: B023, E731
+        around = own.select(id_col, *axes, *low(own))
+        for i in range(len(axes)):
+            around = around.withColumn(f"v{i}", F.explode(F.array(*(F.col(f"v{i}") + d for d in (-1, 0, 1)))))
+        other = points.select(F.col(id_col).alias("_o"), *(F.col(a).alias(f"_{a}") for a in axes), *low(points))
+        pairs = around.join(other, [f"v{i}" for i in range(len(axes))]).where(F.col(id_col) != F.col("_o"))
+        d2 = sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes), F.lit(0.0))
+        w = Window.partitionBy(id_col).orderBy("_d", "_o")
+        near = pairs.withColumn("_d", d2).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+        near = near.groupBy(id_col).agg(F.count("*").alias("found"), F.max("_d").alias("_far"), F.log(F.sqrt(F.greatest(F.avg("_d"), F.lit(1e-7)))).alias("log_scale"))
+        whole = size >= extent
+        # A hair under the cell size, as floor(a / size) is rounded.
+        near = _saved(near.where(F.lit(whole) | (F.col("found") == k) & (F.sqrt("_far") <= size * (1 - 1e-9))).select(id_col, "found", "log_scale"))
+        out = near if out is None else out.unionByName(near)
+        own = _saved(own.join(near, id_col, "left_anti"))
+        if whole or own.isEmpty():
+            return out
+        cell = 2 * size
+
+
 def image_quality(pixels: DataFrame, image: Sequence[str], a: str, b: str) -> DataFrame:
     """mse, psnr, mae and largest difference per image."""
     d = F.col(a) - F.col(b)

@@ -155,6 +155,17 @@ def nearest_scale(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.nearest_scale(_points(spark, sf), "vec_id", ["x", "y", "z"], 0.1).withColumn("log_scale", snap(F.col("log_scale")))
 
 
+@named(
+    "nearest_scale_exact",
+    f"""with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings),
+    d as (select a.vec_id, b.vec_id as o, pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2) as d from p a join p b on a.vec_id <> b.vec_id),
+    n as (select *, row_number() over (partition by vec_id order by d, o) as n from d) select vec_id, count(*) as found, {s("ln(sqrt(greatest(avg(d), 1e-7)))", "log_scale")} from n where n <= 3 group by 1""",
+)
+def nearest_scale_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """nearest_scale over the true neighbours, however far they are."""
+    return scenes.nearest_scale_exact(_points(spark, sf), "vec_id", ["x", "y", "z"], 0.1).withColumn("log_scale", snap(F.col("log_scale")))
+
+
 def _pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Two rasters of 64 pixels per vector: its own numbers and those of the next vector, in 0..1."""
     zipped = _pairs(spark, sf).select("vec_id", F.posexplode(F.arrays_zip("embedding", "next")).alias("p", "v"))
