@@ -54,7 +54,6 @@ _WORDS = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _SIGNS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-"}
 _NUMBER = rf"(?:{_WORDS}|[0-9])"
 _RUN = re.compile(rf"(?:\bplus[ ]+)?\b{_NUMBER}\b(?:[ ,-]{{1,3}}(?:(?:dot|point|punkt|punto|dash|hyphen)[ ]+)?{_NUMBER}\b){{3,}}", re.I)
-_SOME_WORD = re.compile(rf"\b(?:{_WORDS})\b[ ,-]{{1,3}}(?:\w+[ ]+)?{_NUMBER}\b[ ,-]", re.I)
 _TOKEN = re.compile(r"[^\W_]+")
 _AT = r"(?:at|arroba|@)"
 _DOT = r"(?:dot|punkt|point|punto|\.)"
@@ -64,8 +63,10 @@ _BRACKET_DOT = re.compile(rf"\s{{0,2}}(?:\[\s?{_DOT}\s?\]|\(\s?{_DOT}\s?\)|\{{\s
 _LAST = "com|org|net|edu|gov|info|biz|io|co|me|eu|us|uk|ca|de|fr|es|it|nl|ch|at|be|pt|mx|br|ar|au|in|jp|cn|ru|example|test"
 _BARE = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?: at | arroba |@)[A-Za-z0-9-]++(?:(?: (?:dot|punkt|punto) |\.)(?!(?:{_LAST})\b)[A-Za-z0-9-]++)*+(?:(?: (?:dot|punkt|punto) |\.)(?:{_LAST})\b)+", re.I)
 _BARE_SIGN = re.compile(r" (at|arroba|dot|punkt|punto) ", re.I)
+# What _BARE needs besides spelled dots and "arroba": it is sought from each " at ", so it is cheap.
+_AT_NAME = re.compile(rf" at (?:[A-Za-z0-9-]+\.)+(?:{_LAST})\b", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s?(?:at|arroba|dot|punkt|point|punto|[.@])\s?[\])}>]", re.I)
-_ODD = re.compile("[" + "".join(map(re.escape, {*_LOOKALIKES, *_INVISIBLE} - {" ", "–"})) + "]")
+_ODD = re.compile("[" + "".join(map(re.escape, sorted({*_LOOKALIKES, *_INVISIBLE}))) + "]")
 _FOLD = {ord(a): b for a, b in _LOOKALIKES.items()}
 
 
@@ -127,13 +128,31 @@ class Rewritten:
         self.start, self.end, self.new = start + self.start[at:], end + self.end[at:], new + self.new[at:]
 
 
+def with_spelled_dots(text: str, start: int, floor: int) -> int:
+    """Where the local part that is known from `start` on begins, if spelled dots and words before it belong to it."""
+    while True:
+        sign = next((x for x in (" dot ", " punkt ", " punto ") if text[max(start - len(x), floor) : start].lower() == x), None)
+        if not sign:
+            return start
+        at = end = start - len(sign)
+        while at > floor and text[at - 1] in _LOCAL:
+            at -= 1
+        if at == end or at > floor and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            return start
+        start = at
+
+
 def normalise(text: str) -> Rewritten:
     """The transducers, one after another."""
     out = Rewritten(text)
     out.replace([(m.start(), m.end(), _LOOKALIKES.get(m.group(), "")) for m in _ODD.finditer(out.text)])
     for pattern, sign in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
         out.replace([(m.start(), m.end(), sign) for m in pattern.finditer(out.text)])
-    bare = [(m.start(), m.group()) for m in _BARE.finditer(out.text)]
+    bare, floor = [], 0
+    for m in _BARE.finditer(out.text):
+        at = with_spelled_dots(out.text, m.start(), floor)
+        bare.append((at, out.text[at : m.end()]))
+        floor = m.end()
     out.replace([(at + m.start(), at + m.end(), "@" if m[1].lower() in ("at", "arroba") else ".") for at, whole in bare for m in _BARE_SIGN.finditer(whole)])
     edits: list[tuple[int, int, str]] = []
     for m in _RUN.finditer(out.text):
@@ -149,13 +168,15 @@ def normalise(text: str) -> Rewritten:
 
 
 def disguised(text: str) -> bool:
-    """Whether any transducer could change something that matters."""
+    """Whether any transducer could change the text; each test holds wherever its transducer finds something."""
     if not text.isascii() and _ODD.search(text):
         return True
     if _BRACKETED.search(text):
         return True
     low = text.lower()
-    return any(x in low for x in (" dot ", " punkt ", " punto ", " arroba ")) or _SOME_WORD.search(text) is not None
+    if any(x in low for x in (" dot ", " punkt ", " punto ", " arroba ")) or " at " in low and _AT_NAME.search(text):
+        return True
+    return any(any(c.isalpha() for c in m.group()) for m in _RUN.finditer(text))
 
 
 def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -55,3 +55,33 @@ def test_rows_and_long_texts(spark):
     assert got[1].spans == "email:0:6,ip:7:15" and (got[1].n_email, got[1].n_ip) == (1, 1)
     assert got[2].spans == "" and got[None].n_card == 0 and got[3].n_card == 0
     assert pii.find_personal_data(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("write to john at example.com today", "john at example.com"),
+        ("call +49 30 1234567 now", "+49 30 1234567"),
+        ("no 4111–1111–1111–1111.", "4111–1111–1111–1111"),
+        ("plus 5 5 5 5 5 5 5 5 five", "plus 5 5 5 5 5 5 5 5 five"),
+        ("ip 1 point 2 point 3 point 4 ok", "1 point 2 point 3 point 4"),
+        ("ask jane dot doe at mail dot com", "jane dot doe at mail dot com"),
+        ("ask jane DOT m dot doe at mail.com", "jane DOT m dot doe at mail.com"),
+    ],
+)
+def test_disguises_that_stand_alone(text, found):
+    assert found in [text[a:b] for a, _, b in pii.added(text, pii.detect(text))]
+
+
+def test_gate_loses_nothing(monkeypatch):
+    pick = random.Random(7)
+    parts = ["john", "a.b", "mail", "example", " at ", " AT ", " arroba ", " dot ", " Punkt ", ".", "com", "de", "@", "[at]", "(dot)", " ", "–", "​", "5", "five", "plus", " ", " ", "-", " point ", " dash ", "4111", "+49", "é", "а"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(1, 14))) for _ in range(20000)]
+    own = [pii.added(x, pii.detect(x)) for x in texts]
+    monkeypatch.setattr(pii, "disguised", lambda _: True)
+    assert own == [pii.added(x, pii.detect(x)) for x in texts] and sum(map(bool, own)) > 100
+
+
+def test_chains_of_spelled_dots_end():
+    text = "a dot " * 50_000 + "a at b dot com"
+    assert [text[a:b] == text for a, _, b in pii.added(text, [])] == [True] and pii.added("a at b " * 50_000, []) == []
