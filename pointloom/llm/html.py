@@ -9,8 +9,10 @@ the content region, and whole blocks that it touches are kept.
 
 What is never content is skipped before scoring, wherever it stands: scripts, styles, forms,
 menus, headers and footers of the page, sidebars, and elements whose class, id or role names
-adverts, notices, sharing or reader comments. A page that marks its content with one <article>
-(or else one <main>) is searched inside it; a header inside an article stays, as it carries the title.
+adverts, notices, sharing or reader comments; a header inside an article stays, as it carries the title.
+On a page that marks its content with one <article> (or else one <main>) the mark adds a bonus to the
+words and tags in it, and the best run in it is taken, unless the best run of the whole page by plain
+weights holds a larger sum outside the mark; then that run is the content region.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed, empty ones dropped, and the rest joined in page order by one newline. Null, empty and
@@ -35,6 +37,8 @@ from pointloom.session import table
 
 #: Labelled pages that weights are learned from, in expectation.
 MAX_LABELLED = 2000
+#: What a word outside links and a tag gain in the marked element; a tag never scores above zero.
+WORD_BONUS, TAG_BONUS = 1.0, 2.0
 # No alternative but a comment or CDATA section runs past the next "<", so scanning is linear.
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+')*+)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>", re.S)
 _MARK = re.compile(r"<(article|main)\b", re.I)
@@ -164,24 +168,41 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
     """Blocks of the content region, joined by newlines."""
     marked = marked_by(html := html or "")
     blocks: list[list[str]] = [[]]
-    scores, place = [], []
-    word, tag = weights.get("", 0.5), weights.get("?", -2.0)
+    scores, place, outer = [], [], []  # of all tokens; outer: the scores outside the mark
+    inner, inner_place = [], []  # of tokens in the marked element, with the bonus
+    word, tag, was = weights.get("", 0.5), weights.get("?", -2.0), False
+    link = False
     for kind, x, bad, good in tokens(html, marked):
-        content = not bad and (good or not marked)
+        if good != was:
+            blocks.append([])
+            was = good
         if kind == "text":
-            if content:
-                blocks[-1].append(x)
-                scores.append(word * len(x.split()))
-                place.append(len(blocks) - 1)
+            if bad:
+                continue
+            blocks[-1].append(x)
+            n = len(x.split())
+            own, raised = word * n, (word if link else word + WORD_BONUS) * n
         else:
+            if x in _BLOCK or x == "a":
+                link = x == "a" and kind == "open"
             if x in _BLOCK:
                 blocks.append([])
-            elif x == "br" and content:
+            elif x == "br" and not bad:
                 blocks[-1].append(" ")
-            # Inside the marked element all that is not boilerplate is content; elsewhere tags cost their weight.
-            scores.append(0.0 if marked and good else weights.get(x, tag))
-            place.append(len(blocks) - 1)
+            own = weights.get(x, tag)
+            # Boilerplate in the marked element is cut out of it, so its tags cost nothing there.
+            raised = 0.0 if bad else min(0.0, own + TAG_BONUS)
+        scores.append(own)
+        place.append(len(blocks) - 1)
+        outer.append(0.0 if good else own)
+        if good:
+            inner.append(raised)
+            inner_place.append(len(blocks) - 1)
     begin, end = region(scores)
+    if inner:
+        first, last = region(inner)
+        if sum(inner[first:last]) >= sum(outer[begin:end]):
+            begin, end, place = first, last, inner_place
     if begin == end:
         return ""
     chosen = blocks[place[begin] : place[end - 1] + 1]

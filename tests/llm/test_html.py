@@ -57,3 +57,11 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>some words here</p>", "t"), (2, None, None, "t"), (1, "u", "<p>some words here</p>", "t")], "page_id bigint, url string, html string, text string")
     got = sorted((r.page_id, r.text, r.n_chars) for r in X.extract_main_text(df).collect())
     assert got == [(1, "some words here", 15), (1, "some words here", 15), (2, "", 0)] and X.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_mark_is_a_bonus_and_not_a_rule(weights):
+    text = "This is the text of the page and it goes on for a good while with many words in it. " * 4
+    side = f"<body><div><article><p>Read this too</p></article></div><div><p>{text}</p><p>{text}</p></div></body>"
+    assert text.strip() in X.extract(side, weights)
+    page = f"<body><article><p>{text}</p><ul>" + "<li><a href=x>Link</a></li>" * 9 + "</ul></article><div><p>Some other words stand here.</p></div></body>"
+    assert X.extract(page, weights) == text.strip()
