@@ -44,6 +44,7 @@ _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^<>
 _MARK = re.compile(r"<(article|main)\b", re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -53,8 +54,10 @@ _HINT = re.compile(
     re.I,
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
+#: Raw elements whose text is never content, even if their end tag is missing; "/>" does not end them.
+_CODE = {"script", "style"}
 #: Elements that a start tag of the same kind ends.
-_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, **dict.fromkeys(("tbody", "thead", "tfoot"), {"tbody", "thead", "tfoot", "tr", "td", "th"}), "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 def boilerplate(name: str, attributes: str, inside: bool) -> bool:
@@ -85,10 +88,13 @@ def tokens(html: str, mark: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, text or tag name, in boilerplate, in the marked element); kind: text, open, close."""
     stack: list[tuple[str, bool, bool]] = []  # name, starts boilerplate, starts content
     bad = good = holders = at = 0
+    opened: Counter = Counter()  # names on the stack
+    endless: set[str] = set()  # raw elements without another end tag
 
     def pop() -> None:
         nonlocal bad, good, holders
         name, b, g = stack.pop()
+        opened[name] -= 1
         bad -= b
         good -= g
         holders -= name in ("article", "main")
@@ -105,7 +111,7 @@ def tokens(html: str, mark: str) -> Iterator[tuple[str, str, bool, bool]]:
         if not name:
             continue
         if m[1] or m[4]:
-            if any(x[0] == name for x in stack[-64:]):
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -113,20 +119,28 @@ def tokens(html: str, mark: str) -> Iterator[tuple[str, str, bool, bool]]:
             continue
         attributes = m[3] or m[6] or ""
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if name not in _CODE and _EMPTY.search(attributes):
+                continue
+            end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            if end:
+                at = end.end()
+            elif name in _CODE:
+                at = len(html)
+            else:
+                endless.add(name)
             continue
         if stack and name in _BLOCK:
             while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "font", "u") and name in _BLOCK and (stack[-1][0] == "p" or name in ("p", "div", "section", "article", "ul", "ol", "table")):
                 if stack[-1][1]:
                     break
                 pop()
-        if stack and stack[-1][0] in _CLOSES.get(name, ()):
+        while stack and stack[-1][0] in _CLOSES.get(name, ()):
             pop()
         yield "open", name, bad > 0, good > 0
         if name not in _VOID and not attributes.endswith("/"):
             b, g = boilerplate(name, attributes, holders > 0), name == mark
             stack.append((name, b, g))
+            opened[name] += 1
             bad += b
             good += g
             holders += name in ("article", "main")

@@ -65,3 +65,18 @@ def test_mark_is_a_bonus_and_not_a_rule(weights):
     assert text.strip() in X.extract(side, weights)
     page = f"<body><article><p>{text}</p><ul>" + "<li><a href=x>Link</a></li>" * 9 + "</ul></article><div><p>Some other words stand here.</p></div></body>"
     assert X.extract(page, weights) == text.strip()
+
+
+def test_omitted_end_tags_at_any_depth(weights):
+    text = "The text of the page has a number of words in it and is long enough."
+    rows = "<tr><td>x<td><p>y" * 200
+    assert X.extract(f"<body><aside><table>{rows}</table></aside><article><p>{text}</p></article></body>", weights) == text
+    deep = "<article><div>" + "<span>" * 200 + f"<p>{text}</p></article><div><p>Not this one.</p></div>"
+    assert X.extract(deep, weights) == text
+
+
+@pytest.mark.parametrize("raw", ['<svg viewBox="0 0 1 1"/>', "<math/>", "<iframe src='x' />", "<iframe>", "<svg>", "<canvas>", "<object/>" * 3])
+def test_raw_elements_without_end(weights, raw):
+    text = "The text of the page has a number of words in it and is long enough."
+    assert X.extract(f"<article><p>{text}</p>{raw}<p>{text}</p></article>", weights) == f"{text}\n{text}"
+    assert X.extract(raw * 20_000, weights) == ""
