@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import ALNUM, U64, arrow_map, grams, joined, mix, slices, split_words, texts
@@ -197,18 +197,24 @@ def _named(with_text: bool):
             rows = texts(batch.column(1))
             nodes = [sequence_hash(words, first, rows[i:j]) for i, j, words, first in documents_words(rows)]
             own = pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, *([batch.column(1)] if with_text else [])], names=["id", "node", *(["text"] if with_text else [])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, *([batch.column(1)] if with_text else batch.columns[2:])], names=["id", "node", *(["text"] if with_text else batch.schema.names[2:])])
 
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, group_id (the least id of its group; its own where it has no duplicates), n_group (rows in it)."""
+def _row(id_col: str, text_col: str) -> Column:
+    """Names a row by id and text; rows equal in both are one document."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.lit("\0"), F.col(text_col))
+
+
+def _labelled(df: DataFrame, id_col: str, text_col: str, rows: bool = False) -> DataFrame:
+    """id and component of each row that has a text, and with `rows` the row's name."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.where(F.col(text_col).isNotNull())
     edges = bucket_edges(docs.select(text_col), _sign)
     nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    named = saved(arrow_map(docs, [F.col(id_col).alias("id"), text_col], _named(False), f"id {kind}, node bigint"))
+    more = [_row(id_col, text_col).alias("row")] if rows else []
+    named = saved(arrow_map(docs, [F.col(id_col).alias("id"), text_col, *more], _named(False), f"id {kind}, node bigint{', row bigint' if rows else ''}"))
     # One row of each node lends its text.
     lenders = named.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
     # The ids are checked again by hash, as an id may have several rows.
@@ -217,7 +223,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own_texts = held.mapInArrow(_named(True), f"id {kind}, node bigint, text string").join(small(nodes), "node", "left_semi")
     own_texts = saved(own_texts.groupBy("node").agg(F.first("text").alias("text")))
     comps = linked(edges, own_texts, similar, keys_of, compare)
-    labelled = named.join(small(comps), "node", "left").select("id", F.coalesce("comp", "node").alias("comp"))
+    return named.join(small(comps), "node", "left").select("id", F.coalesce("comp", "node").alias("comp"), *(["row"] if rows else []))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, group_id (the least id of its group; its own where it has no duplicates), n_group (rows in it)."""
+    labelled = _labelled(df, id_col, text_col)
     groups = labelled.groupBy("comp").agg(F.min("id").alias("group_id"), F.count("*").alias("n_group")).where("n_group > 1")
     out = labelled.join(small(groups), "comp", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_group", F.lit(1)).cast("bigint").alias("n_group"))
     rest = df.where(F.col(text_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("group_id"), F.lit(1).cast("bigint").alias("n_group"))
@@ -225,19 +236,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of df, one document of each group: that of the least id.
+    """All columns of df, one document of each group: that of the least id, null last.
 
-    Rows that share id and text are one document, of which one row stays; null texts all stay.
+    Rows that share id and text are one document, of which one row stays; null texts all stay. Documents
+    are told apart by id and text, so that another text under the same id, or a null id, is decided on its own.
     """
-    found = saved(near_duplicates(df, id_col, text_col))
-    gone = found.where(F.col(id_col) != F.col("group_id")).select(id_col).distinct()
-    kept = df.join(small(gone), id_col, "left_anti")
-    repeated = found.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    found = saved(_labelled(df, id_col, text_col, rows=True))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = saved(found.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", F.col("first.row").alias("first")))
+    copies = found.join(small(first), "comp")
+    gone = copies.where("row != first").select(F.col("row").alias("_row")).distinct()
+    rows = df.withColumn("_row", _row(id_col, text_col))
+    kept = rows.join(small(gone), "_row", "left_anti")
+    repeated = saved(copies.where("row = first").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row")))
     if repeated.isEmpty():
-        return kept
-    twice = kept.join(small(repeated), id_col, "left_semi")
-    once = twice.where(F.col(text_col).isNotNull()).dropDuplicates([id_col, text_col])
-    return kept.join(small(repeated), id_col, "left_anti").unionByName(once).unionByName(twice.where(F.col(text_col).isNull()))
+        return kept.drop("_row")
+    once = kept.join(small(repeated), "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(small(repeated), "_row", "left_anti").unionByName(once).drop("_row")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,13 @@ def test_near_duplicates_against_brute_force(spark):
     kept = sorted(r.doc_id for r in neardup.keep_one(df).collect())
     assert kept == sorted({docs[comp[i]][0] for i in range(len(docs))})
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_and_null_ids(spark):
+    text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    third = " ".join(f"c{i}" for i in range(40))
+    docs = [(1, text), (2, text), (2, other), (None, third), (None, third), (None, text), (3, third + " x"), (None, None), (None, None), (4, other + " y"), (4, other)]
+    got = Counter((r.doc_id, r.text) for r in neardup.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    assert got == Counter([(1, text), (2, other), (3, third + " x"), (None, None), (None, None)])
+    nulls = spark.createDataFrame([(None, text), (None, text)], "doc_id bigint, text string")
+    assert neardup.keep_one(nulls).count() == 1
