@@ -97,6 +97,10 @@ def nearest_scale_exact(points: DataFrame, id_col: str, axes: Sequence[str], cel
     points = _saved(points.select(id_col, *axes))
     ends = points.agg(*(F.max(F.when(F.abs(a) < float("inf"), F.abs(a))) for a in axes)).first()
     extent = 2 * max((x for x in ends if x is not None), default=0.0)
+    # Dense clouds begin with smaller cells, as a block of full cells has far more points than k.
+    n = points.count()
+    if n and extent > 0:
+        cell = min(cell, extent / (2 * n ** (1 / 3)))
     own, out = points, None
     while True:
         size = cell
