@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,9 +20,33 @@ def keyed_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def released(fn: Callable) -> Callable:
+    """fn, with the memory that it freed given back at the end: workers live on and serve other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def arrow_map(df: DataFrame, columns: list[str | Column], fn: Callable, schema: str) -> DataFrame:
     """mapInArrow over the named columns only, so that nothing else is read or sent to Python."""
-    return df.select(*columns).mapInArrow(fn, schema)
+    return df.select(*columns).mapInArrow(released(fn), schema)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores after it as no other column (in any case of letters) has."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def texts(column: pa.Array) -> list[bytes]:

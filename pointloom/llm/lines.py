@@ -22,14 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import U64, mix, slices
-from pointloom.llm.linking import bucket_edges, linked, saved, small
+from pointloom.llm.common import U64, free_name, mix, slices
+from pointloom.llm.linking import HEAD, bucket_edges, linked, lookup, saved, sketched, sketches, small
 from pointloom.session import table
 
 K, BANDS, ROWS, THRESHOLD = 8, 14, 4, 0.8
 BINS = BANDS * ROWS
 #: Code points hashed at once; a longer line is hashed in pieces.
 LONG = 1 << 18
+#: Code points of lines that are hashed together, so that the arrays stay in the processor's cache.
+TOGETHER = 1 << 15
+#: Cells of a line's sketch.
+CELLS = 512
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -40,25 +44,32 @@ def folded(line: Column) -> Column:
 
 def shingles(lines: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all windows of k code points, line of each)."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
     sizes = np.array([len(x) for x in lines], np.int64)
-    begins = np.zeros(len(lines) + 1, np.int64)
-    np.cumsum(sizes, out=begins[1:])
-    n = max(len(points) - k + 1, 0)
-    h = np.zeros(n, U64)
-    for j in range(k):
-        h = h * U64(0x9E3779B97F4A7C15) + points[j : j + n]
     windows = np.maximum(sizes - k + 1, 0)
-    line = np.repeat(np.arange(len(lines)), windows)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(windows) - windows, windows) + begins[line]
-    hashes = mix(h[at])
-    short = [i for i in np.flatnonzero((windows == 0) & (sizes > 0)).tolist()]
+    line = np.repeat(np.arange(len(lines)), sizes)
+    # A window starts at each of a line's code points but for the last k - 1.
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
+    starts = np.flatnonzero(left >= k)
+    hashes = mix(windowed(points, k)[starts]) if len(starts) else np.zeros(0, U64)
+    line = line[starts]
+    short = np.flatnonzero((windows == 0) & (sizes > 0)).tolist()
     if short:
         own = np.array([hash_of(lines[i]) for i in short], U64)
         hashes, line = np.concatenate([hashes, own]), np.concatenate([line, np.array(short, np.int64)])
     return hashes, line
 
 
+def windowed(points: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive numbers, built from those of halves; as many as there are windows."""
+    if k == 1:
+        return points
+    half = windowed(points, k // 2)
+    n = max(len(points) - k + 1, 0)
+    out = half[:n] * U64(0x9E3779B97F4A7C15) + (half[k // 2 : k // 2 + n] ^ (half[k // 2 : k // 2 + n] >> U64(29)))
+    return out if k % 2 == 0 else out * U64(0xD6E8FEB86659FD93) + points[k - 1 : k - 1 + n]
+
+
 def hash_of(text: str) -> int:
     from zlib import adler32, crc32
 
@@ -70,7 +81,7 @@ def signatures(lines: list[str], k: int = K, bins: int = BINS) -> np.ndarray:
     """One row of `bins` 32-bit numbers per line, empty bins filled from the next filled ones."""
     out = np.full(len(lines) * bins, _EMPTY, np.uint32)
     pieces = [(i, x[at : at + LONG + k - 1]) for i, x in enumerate(lines) for at in range(0, max(len(x) - k + 1, 1), LONG)]
-    for p, q in slices([len(x) for _, x in pieces], LONG):
+    for p, q in slices([len(x) for _, x in pieces], TOGETHER):
         hashes, line = shingles([x for _, x in pieces[p:q]], k)
         line = np.array([i for i, _ in pieces[p:q]], np.int64)[line]
         place = ((hashes >> U64(40)) * U64(bins)) >> U64(24)
@@ -110,39 +121,53 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield keys.ravel(), np.repeat(nodes[i:j], keys.shape[1])
 
 
-def keys_of(lines: list[str]) -> np.ndarray:
-    return band_keys(signatures(lines))
+def sketch(lines: list[str]) -> np.ndarray:
+    """Sketches of the lines' shingle sets."""
+    out = [np.zeros((0, HEAD + CELLS // 2), np.uint8)]
+    for at in range(0, len(lines), 1024):
+        for i, j in slices([len(x) for x in lines[at : at + 1024]], TOGETHER):
+            key = distinct(lines[at + i : at + j])
+            out.append(sketches(key, (key >> U64(53)).astype(np.int64), None, j - i, CELLS))
+    return np.concatenate(out)
 
 
-def compare(lines: list[str], threshold: float = THRESHOLD):
-    """Exact Jaccard similarities of blocks of lines, as a product of their shingle incidence matrices."""
+def distinct(lines: list[str]) -> np.ndarray:
+    """Each line's different shingles: 11 bits for the line (of at most 2,048) and 53 of the hash, in order."""
+    if len(lines) == 1 and len(lines[0]) > LONG:
+        out = np.zeros(0, U64)
+        for at in range(0, len(lines[0]) - K + 1, LONG - K + 1):
+            out = np.union1d(out, distinct([lines[0][at : at + LONG]]))
+        return out
     hashes, line = shingles(lines)
-    code, cell = np.unique(hashes, return_inverse=True)
-    pair = np.unique(line * len(code) + cell)
-    line, cell = pair // max(len(code), 1), pair % max(len(code), 1)
-    sizes = np.bincount(line, minlength=len(lines))
-    begins = np.searchsorted(line, np.arange(len(lines) + 1))
-
-    def block(x: np.ndarray, y: np.ndarray, mask: np.ndarray, _) -> np.ndarray:
-        low, high = np.minimum(sizes[x][:, None], sizes[y][None, :]), np.maximum(sizes[x][:, None], sizes[y][None, :])
-        mask = mask & (low >= threshold * high)
-        if not mask.any():
-            return mask
-        x_at, y_at = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
-        cells = [np.concatenate([cell[begins[i] : begins[i + 1]] for i in own]) for own in (x[x_at], y[y_at])]
-        shared = np.intersect1d(*cells)
-        both = []
-        for own, all_cells in zip((x[x_at], y[y_at]), cells):
-            place = np.minimum(np.searchsorted(shared, all_cells), max(len(shared) - 1, 0))
-            there = shared[place] == all_cells if len(shared) else np.zeros(len(all_cells), bool)
-            m = np.zeros((len(own), len(shared)), np.float32)
-            m[np.repeat(np.arange(len(own)), sizes[own])[there], place[there]] = 1
-            both.append(m)
-        common = both[0] @ both[1].T
+    key = np.sort((line.astype(U64) << U64(53)) | (hashes >> U64(11)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return key[new]
+
+
+def compare(lines: list[str], threshold: float = THRESHOLD):
+    """Exact Jaccard similarities of pairs in two blocks, until all that is connected is known to be."""
+    sets: list[set] = []
+    for at in range(0, len(lines), 1024):
+        for i, j in slices([len(x) for x in lines[at : at + 1024]], TOGETHER):
+            key = distinct(lines[at + i : at + j])
+            cut = np.searchsorted(key >> U64(53), np.arange(j - i + 1)) if j - i > 1 else [0, len(key)]
+            values = (key & U64((1 << 53) - 1)).tolist() if j - i > 1 else key.tolist()
+            sets += [set(values[cut[k] : cut[k + 1]]) for k in range(j - i)]
+
+    def block(x: np.ndarray, y: np.ndarray, mask: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         out = np.zeros(mask.shape, bool)
-        part = common >= threshold * (sizes[x[x_at]][:, None] + sizes[y[y_at]][None, :] - common) - 1e-9
-        out[np.ix_(x_at, y_at)] = part
-        return out & mask
+        rows_of, columns_of = (labels.copy() for labels in own)  # of the parts that are connected so far
+        for p, q in np.argwhere(mask).tolist():
+            if rows_of[p] != columns_of[q]:
+                a, b = sets[x[p]], sets[y[q]]
+                both = len(a & b)
+                if both >= threshold * (len(a) + len(b) - both) - 1e-9:
+                    out[p, q] = True
+                    new, old = rows_of[p], columns_of[q]
+                    rows_of[rows_of == old] = new
+                    columns_of[columns_of == old] = new
+        return out
 
     return block
 
@@ -152,46 +177,49 @@ def jaccard(a: list[str], b: list[str], threshold: float = THRESHOLD) -> np.ndar
     out = np.zeros(len(a), bool)
     for at in range(0, len(a), 2048):
         sizes = [len(x) + len(y) for x, y in zip(a[at : at + 2048], b[at : at + 2048])]
-        for i, j in slices(sizes, LONG):
-            sets = []
-            for side in (a, b):
-                hashes, pair = shingles(side[at + i : at + j])
-                # 11 bits for the pair and 53 of the shingle's hash: sets of a pair are told apart by them.
-                sets.append(np.unique((pair.astype(U64) << U64(53)) | (hashes >> U64(11))))
+        for i, j in slices(sizes, TOGETHER):
+            sets = [distinct(side[at + i : at + j]) for side in (a, b)]
             n = [np.bincount((x >> U64(53)).astype(np.int64), minlength=j - i) for x in sets]
-            both = np.bincount((np.intersect1d(*sets, assume_unique=True) >> U64(53)).astype(np.int64), minlength=j - i)
+            every = np.sort(np.concatenate(sets))
+            both = np.bincount((every[1:][every[1:] == every[:-1]] >> U64(53)).astype(np.int64), minlength=j - i)
             out[at + i : at + j] = both >= threshold * (n[0] + n[1] - both) - 1e-9
     return out
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of df, with text_col without the lines that go, and n_lines, n_removed (long)."""
+    """All columns of df, with text_col without the lines that go, and n_lines, n_removed (long).
+
+    If df has a column of one of these names, the new one gets underscores after its name (see free_name).
+    """
     # (id, hash of the text) names a row; rows equal in both are alike in everything that matters here.
-    docs = df.withColumn("_row", F.xxhash64(F.col(id_col).cast("string"), F.lit("\0"), F.col(text_col)))
-    occurrences = (
-        docs.where(F.col(text_col).isNotNull())
-        .select("_row", F.col(id_col).alias("_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("_at", "_line"))
-        .withColumn("line", folded(F.col("_line")))
+    row = F.xxhash64(F.col(id_col).cast("string"), F.lit("\0"), F.col(text_col)).alias("row")
+    lines = (
+        df.where(F.col(text_col).isNotNull())
+        .select(row, F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
+        .withColumn("line", folded(F.col("line")))
         .where("line != ''")
-        .select(F.xxhash64("line").alias("node"), "line", "_id", "_row", "_at")
+        .select(F.xxhash64("line").alias("node"), "line", "id", "row", "at")
     )
-    edges = bucket_edges(occurrences.select("node", "line"), _sign)
+    edges = bucket_edges(lines.select("node", "line"), _sign)
     nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = saved(occurrences.select("node", F.col("line").alias("text")).join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    comps = linked(edges, texts, jaccard, keys_of, compare)
-    # Lines that occur once and have no link need no further step.
-    places = saved(occurrences.select("node", F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_at").alias("place")))
-    labelled = places.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = labelled.groupBy("comp").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
-    gone = labelled.join(first, "comp").where("place != first").groupBy(F.col("place._row").alias("_row")).agg(F.collect_set("place._at").alias("_gone"))
-    gone = saved(gone)
-    kept = docs.join(small(gone), "_row", "left").withColumn("_lines", F.split(F.col(text_col), "\n"))
-    stay = F.filter("_lines", lambda _, at: ~F.array_contains(F.col("_gone"), at))
-    return (
-        kept.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(stay))
-        .withColumns({text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")), "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("bigint"), "n_removed": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("bigint")})
-        .drop("_row", "_gone", "_lines", "_kept")
-    )
+    texts = lines.select("node", F.col("line").alias("text")).join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    comps = saved(linked(edges, saved(sketched(texts, sketch)), jaccard, compare, THRESHOLD))
+    places = saved(lines.select("node", F.struct(F.col("id").isNull().alias("none"), "id", "row", "at").alias("place")))
+    # Of each line that occurs twice or has a link: its occurrences, its first one and its component.
+    counted = places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    copies = saved(counted.join(small(comps), "node", "left").where("n > 1 or comp is not null"))
+    leads = saved(copies.where("comp is not null").groupBy("comp").agg(F.min("first").alias("lead"), F.count("*").alias("m")))
+    of_comp = lookup(copies.where("comp is not null"), leads, "comp", "m").select("node", "n", "lead")
+    stays = saved(of_comp.union(copies.where("comp is null").select("node", "n", F.col("first").alias("lead"))))
+    gone = lookup(places, stays, "node", "n").where("place != lead").groupBy(F.col("place.row").alias("row")).agg(F.collect_set("place.at").alias("gone"))
+    out = df.select(row, F.struct(*(f"`{x}`" for x in df.columns)).alias("doc")).join(small(saved(gone)), "row", "left")
+    parts, text = F.split(F.col("doc")[text_col], "\n"), F.col("doc")[text_col]
+    out = out.withColumn("parts", parts).withColumn("kept", F.when(F.col("gone").isNull(), F.lit(None)).otherwise(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")))
+    stay = F.array_join(F.transform("kept", lambda i: F.element_at("parts", i + 1)), "\n")
+    columns = [F.when(F.col("gone").isNull(), text).otherwise(stay).alias(x) if x == text_col else F.col("doc")[x].alias(x) for x in df.columns]
+    n_lines = F.coalesce(F.when(text.isNotNull(), F.size("parts")), F.lit(0)).cast("bigint")
+    n_removed = F.coalesce(F.size("parts") - F.when(F.col("gone").isNotNull(), F.size("kept")), F.lit(0)).cast("bigint")
+    return out.select(*columns, n_lines.alias(free_name("n_lines", df.columns)), n_removed.alias(free_name("n_removed", df.columns)))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

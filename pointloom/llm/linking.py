@@ -4,13 +4,17 @@
    and turns the others into edges to it. So a key sends at most one entry per task, however
    many nodes share it. Entries travel as blobs of numpy data, dealt by key.
 2. The reduce tasks do the same per key. Edges of a key form a tree over all its nodes.
-3. Edges are verified on the real texts; verified ones are links.
+3. Each node's text gets a sketch: how many shingles it has, and how many fall into each of some
+   hundred cells. The smaller counts of two sketches, summed, are at least what two texts share;
+   if even that is too little, the pair is dissimilar (see `possible`). No similar pair is lost.
+   Edges that pass are verified on the real texts; verified ones are links.
 4. Components come from alternating large-star and small-star steps (joins and aggregates).
 5. A key whose nodes ended in several components may hide links between them, as only edges
-   of the tree were compared. All pairs of its nodes in different components are verified,
-   block by block inside tasks that take a bounded part of a key's pairs each; a task returns
-   only the links that connect something. Then step 4 runs again over all links. So no link
-   between nodes that share a key is lost, and no list of a key's pairs is ever made.
+   of the tree were compared. All pairs of its nodes in different components are held against
+   their sketches and then verified, block by block inside tasks that take a bounded part of a
+   key's pairs each; a task returns only the links that connect something. Then step 4 runs
+   again over all links. So no link between nodes that share a key is lost, and no list of a
+   key's pairs is ever made. Nodes of one large component are never sent to each other's parts.
 
 Nodes are 64-bit hashes of texts, so copies are one node from the start.
 """
@@ -21,25 +25,40 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import U64
+from pointloom.llm.common import U64, released
 from pointloom.session import shared_dir
 
 #: Entries that a map task gathers before it sends them; parts per shuffle partition.
-FLUSH, SPREAD = 1 << 20, 4
-#: Rows up to which a table of (id) or (id, short list) is broadcast: at most some tens of MB.
-BROADCAST_ROWS = 500_000
+FLUSH, SPREAD = 1 << 19, 4
+#: Bytes up to which a table is broadcast, and bytes counted for each row besides its texts and lists.
+BROADCAST_BYTES, ROW_BYTES = 24 << 20, 48
+#: A key is hot from this share of all rows on; so at most as many as its inverse are hot.
+HOT_SHARE = 1 / 1000
 #: Edges in a file of a saved step.
 FILE_ROWS = 100_000
 #: Nodes of a block whose pairs are compared at once; nodes of a bucket that one task takes.
-BLOCK, CHUNK_ROWS = 64, 1024
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+BLOCK, CHUNK_ROWS = 64, 512
+#: Bytes of a sketch before its cells: numbers of different and of all shingles, 32 bits each.
+HEAD = 8
+#: The largest number in a cell of a sketch.
+FULL = 15
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A saved table, with a broadcast hint if its rows have at most so many bytes in all; else as it is, for a shuffled join."""
+    width = F.lit(ROW_BYTES)
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind == "array":
+            width = width + 8 * F.greatest(F.size(field.name), F.lit(0))
+        elif kind == "struct":
+            width = width + F.coalesce(F.length(F.to_json(field.name)), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -48,6 +67,28 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of a saved table that nothing reads any more."""
+    plan = df._jdf.queryExecution().analyzed()
+    name = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
+    if name is not None and name.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with saved values (key once each; column `n`: rows that a key has), without a hot key in one task.
+
+    Keys that hold a share of HOT_SHARE or more are at most 1 / HOT_SHARE in number and are broadcast.
+    """
+    hinted = small(values)
+    if hinted is not values:
+        return rows.join(hinted.drop(n), key)
+    least = (values.agg(F.sum(n)).first()[0] or 0) * HOT_SHARE
+    hot = F.broadcast(values.where(F.col(n) >= least).drop(n))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(values.where(F.col(n) < least).drop(n), key))
+
+
 def tree(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, their least nodes) and, for all other nodes of a key, (places of the key, nodes)."""
     order = np.lexsort((nodes, keys))
@@ -132,8 +173,8 @@ def bucket_edges(rows: DataFrame, sign: Callable[[Iterator[pa.RecordBatch]], Ite
     spark = rows.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = SPREAD * width
-    blobs = rows.mapInArrow(lambda batches: send(sign(batches), parts), "part int, kind int, data binary")
-    return saved(blobs.repartition(width, "part").sortWithinPartitions("part").mapInArrow(receive, "key bigint, a bigint, b bigint"))
+    blobs = rows.mapInArrow(released(lambda batches: send(sign(batches), parts)), "part int, kind int, data binary")
+    return saved(blobs.repartition(width, "part").sortWithinPartitions("part").mapInArrow(released(receive), "key bigint, a bigint, b bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -148,74 +189,150 @@ def components(links: DataFrame) -> DataFrame:
         star = large.join(least, "hi")
         star = star.select("hi", F.col("m").alias("lo")).union(star.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
         # As many files as the edges need, not one for each shuffle partition.
-        edges = saved(star.coalesce(state[0] // FILE_ROWS + 1) if state else star)
+        before, edges = edges, saved(star.coalesce(state[0] // FILE_ROWS + 1) if state else star)
+        forget(before)
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40)))).first()
         if tuple(now) == state:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(edges.select("lo", "lo").distinct())
         state = tuple(now)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similar: Callable[[list, list], np.ndarray]) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar; texts has (node, text)."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def sketches(shingle: np.ndarray, row: np.ndarray, weight: np.ndarray | None, rows: int, cells: int) -> np.ndarray:
+    """rows x (HEAD + cells / 2) bytes of different shingles (64-bit hashes), the row of each and its weight (whole numbers; None: 1).
+
+    A cell counts up to FULL in half a byte; FULL stands for "so many or more".
+    """
+    out = np.zeros((rows, HEAD + cells // 2), np.uint8)
+    place = row * cells + (shingle % U64(cells)).astype(np.int64)
+    different = np.bincount(row, minlength=rows)
+    every = different if weight is None else np.bincount(row, weights=weight, minlength=rows)
+    out[:, :HEAD] = np.stack([different, every], 1).astype("<u4").view(np.uint8)
+    counts = np.bincount(place, weights=weight, minlength=rows * cells)
+    counts = np.minimum(counts, FULL).astype(np.uint8).reshape(rows, cells)
+    out[:, HEAD:] = counts[:, : cells // 2] | counts[:, cells // 2 :] << 4
+    return out
+
+
+def unpacked(sketch: np.ndarray) -> np.ndarray:
+    """Sketches with a byte for each cell."""
+    return np.concatenate([sketch[..., :HEAD], sketch[..., HEAD:] & FULL, sketch[..., HEAD:] >> 4], -1)
+
+
+def possible(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two texts may be similar, by their unpacked sketches (last axis; the others are broadcast): false only where they cannot be.
+
+    Texts without repeated shingles share at most s of them, s the sum of the smaller counts, so
+    their Jaccard similarity is at most s / (n + m - s). With weights, a term of the probability
+    Jaccard similarity is at most the smaller one of its two shares, so the sum of the smaller
+    shares of the cells bounds the similarity.
+    """
+    n, m = (np.ascontiguousarray(t[..., :HEAD]).view("<u4").astype(np.float32) for t in (x, y))
+    least = np.minimum(x[..., HEAD:], y[..., HEAD:])
+    shared = least.sum(-1, dtype=np.int32)
+    out = shared * np.float32(1 + threshold) >= np.float32(threshold) * (n[..., 0] + m[..., 0]) * np.float32(1 - 1e-5)
+    weighted = (n[..., 0] != n[..., 1]) | (m[..., 0] != m[..., 1])
+    if weighted.any():
+        at = np.nonzero(weighted)
+        a, b = np.broadcast_to(x, least.shape[:-1] + x.shape[-1:])[at], np.broadcast_to(y, least.shape[:-1] + y.shape[-1:])[at]
+        wa, wb = (np.maximum(np.ascontiguousarray(t[:, :HEAD]).view("<u4")[:, 1], 1).astype(np.float32)[:, None] for t in (a, b))
+        out[at] = np.minimum(a[:, HEAD:] / wa, b[:, HEAD:] / wb).sum(1) >= np.float32(threshold * (1 - 1e-4))
+    full = least.max(-1) == FULL
+    return out | full if full.any() else out
+
+
+def fixed(column: pa.Array) -> np.ndarray:
+    """A binary column whose values have one length, as rows of bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1)
+
+
+def sketched(texts: DataFrame, sketch: Callable[[list], np.ndarray]) -> DataFrame:
+    """(node, text) with the column sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                rows = sketch(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in rows], pa.binary())], names=["node", "text", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(released(run), "node bigint, text string, sketch binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similar: Callable[[list, list], np.ndarray], threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar; texts has (node, text, sketch)."""
+
+    def both(rows: DataFrame, value: str) -> DataFrame:
+        for end in ("a", "b"):
+            rows = rows.join(texts.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+        return rows.select("a", "b", f"{value}_a", f"{value}_b")
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(len(batch), bool)
+            x, y = fixed(batch.column(2)), fixed(batch.column(3))
+            for at in range(0, len(batch), 1024):
+                ok[at : at + 1024] = possible(unpacked(x[at : at + 1024]), unpacked(y[at : at + 1024]), threshold)
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = pa.array(similar(batch.column(2).to_pylist(), batch.column(3).to_pylist()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            yield batch.select([0, 1]).filter(ok)
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    open_ = both(pairs, "sketch").mapInArrow(released(screen), "a bigint, b bigint")
+    return both(open_, "text").mapInArrow(released(run), "a bigint, b bigint")
 
 
-def cross_links(batches: Iterator[pa.RecordBatch], keys_of: Callable[[list], np.ndarray], compare: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (key, lo, hi, chunk, node, comp, text) ordered by (key, lo, hi) -> links between components.
+def cross_links(batches: Iterator[pa.RecordBatch], compare: Callable, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, lo, hi, chunk, node, comp, text, sketch) ordered by (key, lo, hi) -> links between components.
 
-    A pair that shares several keys is compared under the first of them only, and not at all
-    once its ends are connected. compare(texts) gives a function of two index blocks and a
-    mask of pairs that returns which of these are similar, exactly. Small buckets are worked
+    compare(texts) gives a function of two index blocks, a mask of pairs and the components of
+    both, that returns which of the pairs are similar, exactly. Small buckets are worked
     off some hundred at a time; texts that no pair is left for are not looked at.
     """
-    now, rows = None, []
-    held: list[tuple[int, int, int, list]] = []
+    now: tuple | None = None
+    rows: list[pa.RecordBatch] = []  # of the bucket that is being read
+    held: list[tuple[bool, pa.RecordBatch]] = []  # whether all pairs are wanted, the bucket's rows
     size = 0
 
-    def blocks(key: int, lo: int, hi: int, chunk: np.ndarray, own: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Index blocks of a bucket and their pairs that are to be compared here."""
-        first, second = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+    def blocks(whole: bool, lo: np.ndarray, own: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Index blocks of a bucket and their pairs that are to be compared."""
+        prints = unpacked(prints)
+        first, second = np.flatnonzero(lo), np.flatnonzero(lo if whole else ~lo)
         for i in range(0, len(first), BLOCK):
-            for j in range(i if lo == hi else 0, len(second), BLOCK):
+            for j in range(i if whole else 0, len(second), BLOCK):
                 x, y = first[i : i + BLOCK], second[j : j + BLOCK]
                 mask = own[x][:, None] != own[y][None, :]
-                if lo == hi and i == j:
+                if whole and i == j:
                     mask &= x[:, None] < y[None, :]
-                if not mask.any():
-                    continue
-                # The first band that both share must be this bucket's.
-                same = keys[x][:, None, :] == keys[y][None, :, :]
-                mask &= same.any(2) & (keys[x][np.arange(len(x))[:, None], same.argmax(2)] == key)
                 if mask.any():
-                    yield x, y, mask
+                    mask &= possible(prints[x][:, None], prints[y][None, :], threshold)
+                    if mask.any():
+                        yield x, y, mask
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal size
         if not held:
             return
-        every = [r for _, _, _, own in held for r in own]
-        keys, at, todo, needed = keys_of([r[3] for r in every]), 0, [], set()
-        for key, lo, hi, bucket in held:
+        every = pa.Table.from_batches([x for _, x in held]).combine_chunks()
+        node, comp = (np.asarray(every.column(c)) for c in ("node", "comp"))
+        prints = np.concatenate([fixed(x.column("sketch")) for _, x in held])
+        at, todo, needed = 0, [], set()
+        for whole, bucket in held:
             n = len(bucket)
-            label = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in bucket))}
-            own = np.array([label[r[2]] for r in bucket])
-            for x, y, mask in blocks(key, lo, hi, np.array([r[0] for r in bucket]), own, keys[at : at + n]):
+            own = comp[at : at + n].copy()
+            lo = np.asarray(bucket.column("chunk")) == bucket.column("lo")[0].as_py()
+            for x, y, mask in blocks(whole, lo, own, prints[at : at + n]):
                 todo.append((at, own, x, y, mask))
                 needed.update((at + x[mask.any(1)]).tolist(), (at + y[mask.any(0)]).tolist())
             at += n
         links: list[tuple[int, int]] = []
         if todo:
             order = np.array(sorted(needed))
-            place = np.full(len(every), -1)
+            place = np.full(len(node), -1)
             place[order] = np.arange(len(order))
-            similar = compare([every[i][3] for i in order.tolist()])
+            similar = compare(every.column("text").take(pa.array(order)).to_pylist())
             for at, own, x, y, mask in todo:
                 mask = mask & (own[x][:, None] != own[y][None, :])
                 p, q = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
@@ -225,7 +342,7 @@ def cross_links(batches: Iterator[pa.RecordBatch], keys_of: Callable[[list], np.
                 for i, j in zip(*np.nonzero(similar(place[at + x], place[at + y], mask[np.ix_(p, q)], (own[x], own[y])))):
                     i, j = x[i], y[j]
                     if own[i] != own[j]:
-                        links.append((every[at + i][1], every[at + j][1]))
+                        links.append((node[at + i], node[at + j]))
                         own[own == own[j]] = own[i]
         held.clear()
         size = 0
@@ -234,39 +351,62 @@ def cross_links(batches: Iterator[pa.RecordBatch], keys_of: Callable[[list], np.
             yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], names=["a", "b"])
 
     def done() -> Iterator[pa.RecordBatch]:
-        nonlocal rows, size
-        if len({r[2] for r in rows}) > 1:
-            held.append((*now, rows))
-            size += len(rows)
-        rows = []
-        if size >= CHUNK_ROWS:
+        nonlocal size
+        if rows:
+            bucket = rows[0] if len(rows) == 1 else pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            rows.clear()
+            held.append((now[1] == now[2], bucket))
+            size += len(bucket)
+        if size >= 2 * CHUNK_ROWS:
             yield from flush()
 
     for batch in batches:
-        for key, lo, hi, chunk, node, comp, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, lo, hi) != now:
+        if not len(batch):
+            continue
+        names = np.stack([np.asarray(batch.column(c)) for c in range(3)])
+        cut = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), len(batch)]
+        for i, j in zip(cut[:-1], cut[1:]):
+            if (name := tuple(names[:, i].tolist())) != now:
                 yield from done()
-                now = (key, lo, hi)
-            rows.append((chunk, node, comp, text))
+                now = name
+            rows.append(batch.slice(i, j - i))
     yield from done()
     yield from flush()
 
 
-def linked(edges: DataFrame, texts: DataFrame, similar: Callable, keys_of: Callable[[list], np.ndarray], compare: Callable) -> DataFrame:
-    """(node, comp) of all nodes with a link; steps 3 to 5."""
-    links = saved(verified(edges.select("a", "b").distinct(), texts, similar))
+def dealt(members: DataFrame) -> DataFrame:
+    """Members (key, node, comp) of buckets with several components, once for each pair (lo, hi) of chunks that they have a part in.
+
+    A large component has chunks of its own, the others of a bucket share chunks. Two chunks of one
+    component are not paired, so a bucket with one huge component and some further nodes stays linear.
+    """
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    # The only pair of a bucket of two is its edge, which was verified.
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("comps"), F.sum(F.when(F.col("n") <= CHUNK_ROWS, F.col("n")).otherwise(0)).alias("rest")).where("comps > 1 and total > 2").drop("comps")
+    mixed = mixed.withColumn("shared", F.ceil(F.col("rest") / CHUNK_ROWS)).drop("rest")
+    own = sizes.where(F.col("n") > CHUNK_ROWS).withColumn("parts", F.ceil(F.col("n") / CHUNK_ROWS)).drop("n")
+    own = own.withColumn("upto", F.sum("parts").over(Window.partitionBy("key").orderBy("comp")))
+    of_key = own.groupBy("key").agg(F.sum("parts").alias("more"))
+    open_ = members.join(mixed.join(of_key, "key", "left").withColumn("more", F.coalesce("more", F.lit(0))), "key").join(own, ["key", "comp"], "left")
+    begin = F.col("shared") + F.col("upto") - F.col("parts")
+    chunk = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("comp"), F.greatest("shared", F.lit(1)))).otherwise(begin + F.pmod(F.xxhash64("node"), F.col("parts")))
+    last = F.col("shared") + F.col("more")
+    zero, none = F.lit(0).cast("bigint"), F.expr("cast(array() as array<bigint>)")
+    before = F.when(begin > 0, F.sequence(zero, begin - 1)).otherwise(none)
+    after = F.when(begin + F.col("parts") < last, F.sequence(begin + F.col("parts"), last - 1)).otherwise(none)
+    others = F.when(F.col("parts").isNull(), F.sequence(zero, last - 1)).otherwise(F.concat(before, after))
+    out = open_.select("key", "node", "comp", chunk.alias("chunk"), F.explode(others).alias("other"))
+    return out.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp")
+
+
+def linked(edges: DataFrame, texts: DataFrame, similar: Callable, compare: Callable, threshold: float) -> DataFrame:
+    """(node, comp) of all nodes with a link; steps 3 to 5. texts has (node, text, sketch)."""
+    links = saved(verified(edges.select("a", "b").distinct(), texts, similar, threshold))
     comps = components(links)
     members = edges.select("key", F.col("a").alias("node")).union(edges.select("key", "b")).distinct().join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"))
-    # The only pair of a bucket of two is its edge, which was verified.
-    mixed = mixed.where("x != y and n > 2").select("key", "n")
-    # A large bucket is cut into chunks, and each pair of chunks is a task's work of its own.
-    chunks = F.ceil(F.col("n") / CHUNK_ROWS)
-    open_ = members.join(mixed, "key").select("key", "node", "comp", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).alias("chunk"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp")
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.join(texts.select("node", "text"), "node").select("key", "lo", "hi", "chunk", "node", "comp", "text").repartition(width, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = saved(rows.mapInArrow(lambda b: cross_links(b, keys_of, compare), "a bigint, b bigint").distinct())
+    rows = dealt(saved(members)).join(texts, "node").select("key", "lo", "hi", "chunk", "node", "comp", "text", "sketch").repartition(width, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    more = saved(rows.mapInArrow(released(lambda b: cross_links(b, compare, threshold)), "a bigint, b bigint").distinct())
     if more.isEmpty():
         return comps
     return components(links.union(more))

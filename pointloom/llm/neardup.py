@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ALNUM, U64, arrow_map, grams, joined, mix, slices, split_words, texts
+from pointloom.llm.common import ALNUM, U64, arrow_map, grams, joined, mix, released, slices, split_words, texts
 from pointloom.llm.lines import band_keys
-from pointloom.llm.linking import bucket_edges, linked, saved, small
+from pointloom.llm.linking import HEAD, bucket_edges, linked, lookup, saved, sketched, sketches, small
 from pointloom.session import table
 
 K, BANDS, ROWS, THRESHOLD = 5, 16, 4, 0.8
 REGISTERS = BANDS * ROWS
+#: Cells of a text's sketch.
+CELLS = 1024
 
 
 def documents_words(rows: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -164,23 +166,23 @@ def similar(a: list[str], b: list[str], threshold: float = THRESHOLD) -> np.ndar
     return out
 
 
-def keys_of(rows: list[str]) -> np.ndarray:
-    return band_keys(signatures(rows), BANDS)
+def sketch(rows: list[str]) -> np.ndarray:
+    """Sketches of the texts' weighted shingles."""
+    out = [np.zeros((0, HEAD + CELLS // 2), np.uint8)]
+    for i, j, words, first in documents_words([x.encode() for x in rows]):
+        shingle, row, weight = weighted_shingles(words, first)
+        out.append(sketches(shingle, row, weight, j - i, CELLS))
+    return np.concatenate(out)
 
 
 def compare(rows: list[str], threshold: float = THRESHOLD):
-    """Exact similarities of pairs whose signatures do not rule them out (64 registers, four deviations)."""
-    signs, weighted = signatures(rows), [_weighted(x) for x in rows]
+    """Exact similarities of pairs in two blocks, until all that is connected is known to be."""
+    weighted = [_weighted(x) for x in rows]
 
     def block(x: np.ndarray, y: np.ndarray, mask: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        same = np.zeros(mask.shape, np.int32)
-        for r in range(signs.shape[1]):
-            same += signs[x, r][:, None] == signs[y, r][None, :]
-        mask = mask & (same >= (threshold - 0.2) * signs.shape[1])
         out = np.zeros(mask.shape, bool)
         rows_of, columns_of = (x.copy() for x in own)  # labels of the parts that are connected so far
-        pairs = np.argwhere(mask)
-        for p, q in pairs[np.argsort(-same[mask], kind="stable")].tolist():
+        for p, q in np.argwhere(mask).tolist():
             if rows_of[p] != columns_of[q] and probability_jaccard(weighted[x[p]], weighted[y[q]]) >= threshold - 1e-12:
                 out[p, q] = True
                 new, old = rows_of[p], columns_of[q]
@@ -216,20 +218,20 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, rows: bool = False) ->
     more = [_row(id_col, text_col).alias("row")] if rows else []
     named = saved(arrow_map(docs, [F.col(id_col).alias("id"), text_col, *more], _named(False), f"id {kind}, node bigint{', row bigint' if rows else ''}"))
     # One row of each node lends its text.
-    lenders = named.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+    lenders = saved(named.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select(F.col("id").alias("own")).distinct())
     # The ids are checked again by hash, as an id may have several rows.
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held = held.join(small(lenders.withColumnRenamed("id", "own")), F.col("id").eqNullSafe(F.col("own")), "left_semi")
-    own_texts = held.mapInArrow(_named(True), f"id {kind}, node bigint, text string").join(small(nodes), "node", "left_semi")
-    own_texts = saved(own_texts.groupBy("node").agg(F.first("text").alias("text")))
-    comps = linked(edges, own_texts, similar, keys_of, compare)
+    held = held.join(small(lenders), F.col("id").eqNullSafe(F.col("own")), "left_semi")
+    own_texts = held.mapInArrow(released(_named(True)), f"id {kind}, node bigint, text string").join(small(nodes), "node", "left_semi")
+    own_texts = saved(sketched(own_texts.groupBy("node").agg(F.first("text").alias("text")), sketch))
+    comps = saved(linked(edges, own_texts, similar, compare, THRESHOLD))
     return named.join(small(comps), "node", "left").select("id", F.coalesce("comp", "node").alias("comp"), *(["row"] if rows else []))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, group_id (the least id of its group; its own where it has no duplicates), n_group (rows in it)."""
-    labelled = _labelled(df, id_col, text_col)
-    groups = labelled.groupBy("comp").agg(F.min("id").alias("group_id"), F.count("*").alias("n_group")).where("n_group > 1")
+    labelled = saved(_labelled(df, id_col, text_col))
+    groups = saved(labelled.groupBy("comp").agg(F.min("id").alias("group_id"), F.count("*").alias("n_group")).where("n_group > 1"))
     out = labelled.join(small(groups), "comp", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_group", F.lit(1)).cast("bigint").alias("n_group"))
     rest = df.where(F.col(text_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("group_id"), F.lit(1).cast("bigint").alias("n_group"))
     return out.union(rest).withColumnRenamed("id", id_col)
@@ -243,16 +245,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     found = saved(_labelled(df, id_col, text_col, rows=True))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    first = saved(found.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", F.col("first.row").alias("first")))
-    copies = found.join(small(first), "comp")
-    gone = copies.where("row != first").select(F.col("row").alias("_row")).distinct()
-    rows = df.withColumn("_row", _row(id_col, text_col))
-    kept = rows.join(small(gone), "_row", "left_anti")
-    repeated = saved(copies.where("row = first").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row")))
-    if repeated.isEmpty():
-        return kept.drop("_row")
-    once = kept.join(small(repeated), "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.join(small(repeated), "_row", "left_anti").unionByName(once).drop("_row")
+    leads = saved(found.groupBy("comp").agg(F.min(place).alias("lead"), F.count("*").alias("n")).where("n > 1").select("comp", F.col("lead.row").alias("lead"), "n"))
+    copies = saved(lookup(found.select("comp", "row"), leads, "comp", "n").groupBy("row").agg(F.first(F.col("row") != F.col("lead")).alias("goes"), F.count("*").alias("n")).where("goes or n > 1"))
+    # A row whose name occurs once and leads its group has no entry; of a name that occurs several times and leads, one row stays.
+    rows = df.select(_row(id_col, text_col).alias("row"), F.struct(*(f"`{x}`" for x in df.columns)).alias("doc"))
+    kept = rows.join(small(copies), "row", "left_anti")
+    repeated = saved(copies.where("not goes").select("row"))
+    if not repeated.isEmpty():
+        once = rows.join(small(repeated), "row", "left_semi").groupBy("row").agg(F.first("doc").alias("doc"))
+        kept = kept.unionByName(once)
+    return kept.select(*(F.col("doc")[x].alias(x) for x in df.columns))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

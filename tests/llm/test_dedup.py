@@ -45,19 +45,97 @@ def test_pairs_of_lines_and_blocks():
     sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in rows]
     j = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
     every = np.arange(len(rows))
-    assert (lines.compare(rows)(every, every, np.ones(j.shape, bool), None) == (j >= 0.8)).all()
+    found = lines.compare(rows)(every, every, ~np.eye(len(rows), dtype=bool), (every, every))
+    assert union(len(rows), np.argwhere(found).tolist()) == union(len(rows), np.argwhere(j >= 0.8).tolist()) and not (found & (j < 0.8)).any()
     a, b = np.triu_indices(len(rows), 1)
     assert (lines.jaccard([rows[i] for i in a], [rows[i] for i in b]) == (j[a, b] >= 0.8)).all()
-    keys, buckets = lines.keys_of(rows), {}
+    keys, buckets = lines.band_keys(lines.signatures(rows)), {}
     for i in range(len(rows)):
         for k in keys[i].tolist():
             buckets.setdefault(k, set()).add(i)
     shared = [(x, y) for x, y in zip(a.tolist(), b.tolist()) if j[x, y] >= 0.8 and set(keys[x].tolist()) & set(keys[y].tolist())]
+    prints = lines.sketch(rows)
     for chunks in (1, 3):
-        table = sorted((k, min(i % chunks, o), max(i % chunks, o), i % chunks, i, i, rows[i]) for k, m in buckets.items() for i in m for o in range(chunks))
-        batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in table]) for c in range(7)], names=list("abcdefg"))
-        links = [x for out in linking.cross_links(iter([batch]), lines.keys_of, lines.compare) for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
-        assert union(len(rows), links) == union(len(rows), shared)
+        table = sorted((k, min(i % chunks, o), max(i % chunks, o), i % chunks, i, i, rows[i], prints[i].tobytes()) for k, m in buckets.items() for i in m for o in range(chunks))
+        batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in table]) for c in range(8)], names=["key", "lo", "hi", "chunk", "node", "comp", "text", "sketch"])
+        for size in (7, len(table)):
+            batches = [batch.slice(i, size) for i in range(0, len(batch), size)]
+            links = [x for out in linking.cross_links(iter(batches), lines.compare, 0.8) for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+            assert union(len(rows), links) == union(len(rows), shared)
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    pick = random.Random(8)
+    for module, base, similar in ((lines, ["".join(pick.choice("abcdefgh ") for _ in range(n)) for n in (9, 60, 900)], lines.jaccard), (neardup, [" ".join(f"w{pick.randrange(m)}" for _ in range(n)) for n, m in ((40, 4), (90, 400), (3000, 900))], neardup.similar)):
+        rows = []
+        for text in base:
+            words = text.split(" ") if module is neardup else list(text)
+            for share in (0, 0.01, 0.02, 0.04, 0.1, 0.3):
+                rows.append((" " if module is neardup else "").join(pick.choice(words) if pick.random() < share else w for w in words))
+        rows += [x + (" " if module is neardup else "") + x for x in rows[:6]]
+        prints = module.sketch(rows)
+        a, b = (x.ravel() for x in np.indices((len(rows), len(rows))))
+        truth = similar([rows[i] for i in a], [rows[i] for i in b])
+        prints = linking.unpacked(prints)
+        maybe = linking.possible(prints[a], prints[b], 0.8)
+        assert not (truth & ~maybe).any() and truth.sum() > len(rows) and (~maybe).sum() > len(rows)
+
+
+def test_recall_of_shared_bands():
+    """Edited copies at a similarity of 0.8 or more share a band: at least 99 in 100 of them."""
+    pick = random.Random(9)
+    for module, similar in ((lines, lines.jaccard), (neardup, neardup.similar)):
+        a, b = [], []
+        for _ in range(1500):
+            words = [f"{pick.randrange(10**6):x}" for _ in range(pick.randint(20, 60) if module is neardup else 12)]
+            text = " ".join(words)
+            for _ in range(pick.randint(1, 2)):
+                words[pick.randrange(len(words))] = "zz"
+            a.append(text)
+            b.append(" ".join(words))
+        true = np.flatnonzero(similar(a, b))
+        keys = [module.band_keys(module.signatures([x[i] for i in true]), module.BANDS) for x in (a, b)]
+        assert len(true) > 100 and (keys[0] == keys[1]).any(1).mean() > 0.99
+
+
+def test_chunks_of_large_components(spark, monkeypatch):
+    """Every pair of nodes in different components meets once at least; chunks of one component do not."""
+    monkeypatch.setattr(linking, "CHUNK_ROWS", 4)
+    comps = [1] * 11 + [2] * 9 + [3] * 2 + [4, 5, 6, 7]
+    members = [(1, n, c) for n, c in enumerate(comps)] + [(2, 100 + n, 1) for n in range(9)] + [(2, 200, 9)] + [(3, 300, 1), (3, 301, 2)] + [(4, 400 + n, 5) for n in range(6)] + [(5, 500 + n, n % 2) for n in range(3)]
+    rows = linking.dealt(spark.createDataFrame(members, "key bigint, node bigint, comp bigint")).collect()
+    met, groups = set(), {}
+    for r in rows:
+        groups.setdefault((r.key, r.lo, r.hi), []).append(r)
+    for (key, lo, hi), own in groups.items():
+        assert len({r.comp for r in own}) > 1 or lo == hi or len({r.chunk for r in own}) == 1
+        for x in own:
+            for y in own:
+                if x.node < y.node and (lo == hi or x.chunk != y.chunk):
+                    met.add((key, x.node, y.node))
+    want = {(k, a, b) for k, a, c in members for l, b, d in members if k == l and a < b and c != d and k in (1, 2, 5)}
+    assert want <= met and not any(k in (3, 4) for k, _, _ in met)
+
+
+def test_keys_that_are_hot(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(linking, "HOT_SHARE", 0.3)
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(k, k) for k in range(2, 30)], "k int, v int")
+    values = spark.createDataFrame([(1, "a", 50)] + [(k, "b", 1) for k in range(2, 20)], "k int, w string, n bigint")
+    monkeypatch.setattr(linking, "small", lambda df: df)
+    got = Counter((r.k, r.w) for r in linking.lookup(rows, values, "k", "n").collect())
+    assert got == Counter({(1, "a"): 50, **{(k, "b"): 1 for k in range(2, 20)}})
+
+
+def test_line_columns_that_clash_and_repeated_rows(spark):
+    docs = [(1, "a line of its own here\nand one that comes again", 77, "x", [1]), (1, "a line of its own here\nand one that comes again", 77, "x", [1]), (2, "and one that comes again\nlast line of all of them", 78, None, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, n_lines int, row string, gone array<int>")
+    out = lines.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "n_lines", "row", "gone", "n_lines_", "n_removed"]
+    got = sorted((r.doc_id, r.text, r.n_lines, r.row, r.n_lines_, r.n_removed) for r in out.collect() if r.doc_id == 1)
+    assert got == [(1, docs[0][1], 77, "x", 2, 0)] * 2
+    (last,) = [r for r in out.collect() if r.doc_id == 2]
+    assert (last.text, last.n_lines, last.row, last.gone, last.n_lines_, last.n_removed) == ("last line of all of them", 78, None, None, 2, 1)
 
 
 def test_signature_of_long_line_is_pieced(monkeypatch):
