@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import free_name
 from pointloom.llm.decontaminate import keep_clean
 from pointloom.llm.language import keep_identified, train
 from pointloom.llm.lines import dedup_lines
@@ -25,9 +26,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that have a near copy elsewhere, and documents of which nothing else was left."""
-    out = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    removed = F.col(free_name("n_removed", docs.columns))
+    out = dedup_lines(docs).where((removed == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
