@@ -18,6 +18,24 @@ def test_pages_of_the_table(spark):
         assert (got[page].text, got[page].n_chars, got[page].url) == (want, len(want), url)
 
 
+def unmarked(source):
+    return source.replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def test_held_out_pages_without_marks(spark, weights, monkeypatch):
+    """Learned from marked pages, right on others whose marks are taken away; constant weights are not."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    want = [X.extract(x, weights) for x in pages]
+    assert [X.extract(unmarked(x), weights) for x in pages] == want
+    assert not any("\xa9" in x for x in want)
+    with monkeypatch.context() as m:
+        m.setattr(X, "listed", lambda feature: False)
+        own = X.learn([r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()])
+        assert [X.extract(unmarked(x), own) for x in pages[:300]] == want[:300]
+        assert [X.extract(unmarked(x), {"": 1.0}) for x in pages[:300]].count("") == 0
+        assert sum(X.extract(unmarked(x), {"": 1.0}) == y for x, y in zip(pages[:300], want)) < 30
+
+
 @pytest.fixture(scope="module")
 def weights(spark):
     return X.learn([r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()])
@@ -59,12 +77,20 @@ def test_rows(spark):
     assert got == [(1, "some words here", 15), (1, "some words here", 15), (2, "", 0)] and X.extract_main_text(df.limit(0)).count() == 0
 
 
-def test_mark_is_a_bonus_and_not_a_rule(weights):
+def test_mark_is_no_rule(weights):
     text = "This is the text of the page and it goes on for a good while with many words in it. " * 4
     side = f"<body><div><article><p>Read this too</p></article></div><div><p>{text}</p><p>{text}</p></div></body>"
     assert text.strip() in X.extract(side, weights)
-    page = f"<body><article><p>{text}</p><ul>" + "<li><a href=x>Link</a></li>" * 9 + "</ul></article><div><p>Some other words stand here.</p></div></body>"
-    assert X.extract(page, weights) == text.strip()
+
+
+def test_learned_classes():
+    """A class that no list has is cut out once labelled pages have shown it outside only."""
+    pages = [f"<body><div class=qzx>Seldom read words {i}</div><article><p>Text of page {i} with some more words</p></article><div class=qzx>tail</div></body>" for i in range(40)]
+    own = X.learn(pages)
+    assert own[".qzx"] < X.CUT < own["div"] + 1 and own["p"] > 0 and own[""] > 0
+    page = "<body><div class=qzx>Many words that are not read by anyone at all</div><div><p>The text</p><p>of it</p></div></body>"
+    assert X.extract(page, own) == "The text\nof it"
+    assert X.learn([]).keys() == {""}
 
 
 def test_omitted_end_tags_at_any_depth(weights):
