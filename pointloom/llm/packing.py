@@ -24,6 +24,9 @@ from pointloom.llm.common import arrow_map
 from pointloom.llm.tokens import batch_ids, encoder, vocabulary
 from pointloom.session import table
 
+#: Characters beyond which a text is encoded in overlapping chunks; memos are faster than the library's offsets.
+CHUNK_CHARS = 1 << 16
+
 
 def lengths(n: int, longest: int = 2048) -> list[int]:
     """The powers of two that n splits into, falling; `longest` is one too and may repeat."""
@@ -46,7 +49,7 @@ def pack(df: DataFrame, model: str | None = None, longest: int = 2048, end_id: i
         memo = encoder(name)
         for batch in batches:
             rows, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, (_, data) in enumerate(batch_ids(batch.column(1), memo)):
+            for i, (_, data) in enumerate(batch_ids(batch.column(1), memo, CHUNK_CHARS)):
                 data += tail
                 n, at = len(data) // 4, 0
                 for size in lengths(n, longest):

@@ -1,23 +1,27 @@
 """Operator 9: token counts of whole texts, exactly as the tokenizer library gives them.
 
-A text is encoded in chunks that overlap. Two neighbouring chunks are spliced at a boundary
-that both of them contain and that is proven stable: no match of the pre-tokenizer, no special
-string and no normalisation can reach across it, so what stands left of it is encoded alike
-whatever follows, and the other way round. If an overlap holds no such boundary it is doubled
-until it does, or until the text ends.
-
-Inside a chunk the ids of each run between ASCII white space come from a bounded memo that is
-filled by the library itself; a white-space boundary is stable by the same proof. The library
-with all its rules (special strings, normalisation, merges) therefore decides every id.
-
-Null texts count as empty. Empty texts have no tokens.
+A text longer than a chunk is encoded by the library in chunks that overlap, with the offsets of
+its tokens, and two neighbouring chunks are spliced in their overlap at the first proven stable boundary:
+an offset at which both encodings start a word of the pre-tokenizer (with sentencepiece, a piece
+after which no piece of the vocabulary can reach back over the space), the text has an ASCII character, both chunk
+edges are farther away than any special string is long, and from which on both encodings agree in every
+(offset, id) up to that distance from the left chunk's end. Pre-tokenizers match from left to
+right without looking back and merges stay within their words, so what stands left of such a
+boundary is encoded alike whatever follows, and the other way round; an ASCII character never combines with what is before it. If an
+overlap holds no such boundary it is doubled; once it reaches the left chunk's begin, that chunk is
+widened, at last up to the text's end.
+
+A text of one chunk needs no splicing. Its ids come from bounded memos that the library fills: of
+runs between ASCII white space, and of the words in them where the pre-tokenizer is known. The library with
+all its rules (special strings, normalisation, merges) therefore decides every id.
+
+Null texts count as empty. Empty texts have no tokens. Repeated rows are counted once each.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pointloom.llm.common import CHUNK, arrow_map, slices, texts
 from pointloom.session import table
 
-#: Bytes of a chunk, of the first overlap, entries of a memo, longest remembered run.
-CHUNK_BYTES, OVERLAP_BYTES, MEMO, LONGEST = 1 << 16, 256, 250_000, 64
-_SPACE_SET = {b" ", b"\t", b"\n", b"\v", b"\f", b"\r"}
-_RUN = re.compile(rb"[^ \t\n\v\f\r]+")
+#: Characters of a chunk and of the first overlap, entries of a memo, longest remembered run in bytes.
+CHUNK_CHARS, OVERLAP, MEMO, LONGEST = 1 << 14, 256, 250_000, 64
 #: Characters that the normaliser keeps or lowers one by one, whatever stands beside them.
 _PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 _PLAIN_TEXT = re.compile("[\t-\r -&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*")
@@ -66,18 +68,35 @@ class Memo(dict):
             self.library = lambda text: own.encode(text, add_special_tokens=False)
             self.encode = lambda text: self.library(text).ids
             self.runs = True
+            #: Tokens from chunk edges that splicing keeps away from, more than a special string is long.
+            self.margin = 1 + max((len(x.content) for x in own.get_added_tokens_decoder().values()), default=0)
             #: Only this pre-tokenizer is known to cut plain runs as _PART does.
             self.cuts = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in own.to_str()
         else:
             import sentencepiece
 
             own = sentencepiece.SentencePieceProcessor(model_file=model)
+            self.library = lambda text: own.encode(text, return_type="proto").pieces
             self.encode = lambda text: own.encode(text)
             self.runs = self.cuts = False  # its pieces hold the white space itself
+            self.margin = 1 + max(len(own.id_to_piece(k)) for k in range(own.get_piece_size()))
+            #: Whether no piece goes on after a space that follows something else; only then is a space a boundary.
+            self.apart = not any("\u2581" in own.id_to_piece(k).lstrip("\u2581") for k in range(own.get_piece_size()))
 
     def ids(self, run: bytes) -> bytes:
         return np.array(self.encode(run.decode("utf-8", "replace")), "<u4").tobytes()
 
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, id, whether a word starts) of the library's tokens of a text."""
+        out = self.library(text)
+        if self.runs:
+            ids, starts = np.array(out.ids, "<u4"), np.array([x for x, _ in out.offsets], np.int64)
+            words = np.array([-1 if x is None else x for x in out.word_ids], np.int64)
+            return starts, ids, np.diff(words, prepend=-2) != 0
+        ids, starts = np.array([x.id for x in out], "<u4"), np.array([x.begin for x in out], np.int64)
+        space = [self.apart and 0 < x < len(text) and text[x] == " " and text[x - 1].isascii() and not text[x - 1].isspace() for x in starts.tolist()]
+        return starts, ids, np.array(space, bool)
+
     def learn(self, parts: list[str]) -> None:
         """Encodes parts, each of them one word of the pre-tokenizer."""
         for i in range(0, len(parts), 400):
@@ -124,90 +143,93 @@ def encoder(model: str) -> Memo:
     return _encoders[key]
 
 
-def encoded_runs(data: bytes, begin: int, end: int, memo: Memo) -> tuple[list[int], list[bytes]]:
-    """Byte offset in the text and ids of every run in data[begin:end]."""
-    found = [(m.start(), m.group()) for m in _RUN.finditer(data, begin, end)]
-    return [x for x, _ in found], [memo[x] for _, x in found]
+def boundary(text: str, left: tuple, right: tuple, first: int, begin: int, end: int, margin: int) -> tuple[int, int] | None:
+    """Places in left and right tokens of the first proven boundary in text[begin:end]; first: the left token that is proven."""
+    last = int(np.searchsorted(left[0], end - margin, side="right"))
+    at = np.flatnonzero(left[2][:last] & (left[0][:last] >= begin + margin))
+    own = np.flatnonzero(right[2] & (right[0] >= begin + margin) & (right[0] <= end - margin))
+    place = dict(zip(right[0][own].tolist(), own.tolist()))
+    for i in at[at > first].tolist():
+        j = place.get(int(left[0][i]))
+        if j is None or not text[left[0][i]].isascii():
+            continue
+        n = last - i
+        if j + n <= len(right[0]) and (left[0][i:last] == right[0][j : j + n]).all() and (left[1][i:last] == right[1][j : j + n]).all():
+            return i, j
+    return None
 
 
-def document_ids(data: bytes, memo: Memo, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> bytes:
-    """All ids of one text as little-endian 32-bit numbers.
+def document_ids(text: str, memo: Memo, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP) -> bytes:
+    """All ids of one text as little-endian 32-bit numbers, from overlapping chunks (see above)."""
+
+    def spans(begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ids, fresh = memo.spans(text[begin:end])
+        return starts + begin, ids, fresh
 
-    A text of at most `chunk` bytes is one chunk. A longer one is covered by chunks that overlap
-    by `overlap` bytes; each is encoded with offsets, and two neighbours are spliced at the last
-    offset that starts a run in both and that both see white space before. Without one, the
-    overlap doubles; once it covers the whole left chunk, that chunk is widened to the right.
-    """
-    if not memo.runs:
-        return memo.ids(data)
-    if len(data) <= chunk:
-        return b"".join(map(memo.__getitem__, data.split()))
     out: list[bytes] = []
-    begin, end, keep = 0, chunk, 0
-    starts, ids = encoded_runs(data, begin, end, memo)
-    while end < len(data):
-        width = overlap
-        while True:
-            right = max(end - width, keep)
-            to = min(len(data), right + max(chunk, 2 * width))
-            more = encoded_runs(data, right, to, memo)
-            common = set(starts).intersection(more[0])
-            at = max((x for x in common if x > right and data[x - 1 : x] in _SPACE_SET), default=-1)
-            if at > keep:
-                break
-            if right == keep:  # no stable boundary in all of the left chunk
-                if end == len(data):
-                    break
-                end = min(len(data), end + width)
-                starts, ids = encoded_runs(data, begin, end, memo)
-            width *= 2
-        if end == len(data) and at <= keep:
+    begin, end, first = 0, min(chunk, len(text)), 0
+    left = spans(begin, end)
+    while end < len(text):
+        width, found = overlap, None
+        while found is None and end < len(text):
+            if width < end - begin:
+                at, to = end - width, min(len(text), end - width + max(chunk, 2 * width))
+                right = spans(at, to)
+                found = boundary(text, left, right, first, at, end, memo.margin)
+                width *= 2
+            else:
+                end, width = min(len(text), end + max(chunk, end - begin)), overlap
+                left = spans(begin, end)
+        if found is None:
             break
-        lo, hi = bisect_left(starts, keep), bisect_left(starts, at)
-        out += ids[lo:hi]
-        begin, end, keep = right, to, at
-        starts, ids = more
-    out += ids[bisect_left(starts, keep) :]
+        out.append(left[1][first : found[0]].tobytes())
+        left, first, begin, end = right, found[1], at, to
+    out.append(left[1][first:].tobytes())
     return b"".join(out)
 
 
-def batch_ids(column: pa.Array, memo: Memo) -> Iterator[tuple[bytes, bytes]]:
-    """(UTF-8 bytes, ids) of each row of a string column.
+def short_ids(data: bytes, memo: Memo) -> bytes:
+    """All ids of a text of one chunk."""
+    return b"".join(map(memo.__getitem__, data.split())) if memo.runs else memo.ids(data)
 
-    A text of one chunk whose characters are all plain is cut straight into parts, any other
-    goes through document_ids.
-    """
+
+def batch_ids(column: pa.Array, memo: Memo, chunk: int = CHUNK_CHARS) -> Iterator[tuple[bytes, bytes]]:
+    """(UTF-8 bytes, ids) of each row of a string column; texts of more than `chunk` characters are spliced."""
     for at in range(0, len(column), 512):
-        yield from _some_ids(texts(column.slice(at, 512)), memo)
+        yield from _some_ids(texts(column.slice(at, 512)), memo, chunk)
 
 
-def _some_ids(rows: list[bytes], memo: Memo) -> Iterator[tuple[bytes, bytes]]:
+def _some_ids(rows: list[bytes], memo: Memo, chunk: int) -> Iterator[tuple[bytes, bytes]]:
     for i, j in slices([len(x) for x in rows], CHUNK):
+        long: dict[int, str] = {k: text for k in range(i, j) if len(rows[k]) > chunk and len(text := rows[k].decode("utf-8", "replace")) > chunk}
         cut: list[list[str] | None] = [None] * (j - i)
         if memo.cuts:
             for k in range(i, j):
-                if len(rows[k]) <= CHUNK_BYTES and _PLAIN_TEXT.fullmatch(text := rows[k].decode("utf-8", "replace")):
+                if k not in long and _PLAIN_TEXT.fullmatch(text := rows[k].decode("utf-8", "replace")):
                     cut[k - i] = _PART.findall(text.lower())
             if len(memo.parts) > MEMO:
                 memo.parts.clear()
             if unknown := set().union(*filter(None, cut)).difference(memo.parts):
                 memo.learn(sorted(unknown))
-            memo.fill({x for k in range(i, j) if cut[k - i] is None for x in rows[k].split()})
+            memo.fill({x for k in range(i, j) if cut[k - i] is None and k not in long for x in rows[k].split()})
         get = memo.parts.__getitem__
         for k in range(i, j):
             parts = cut[k - i]
-            yield rows[k], document_ids(rows[k], memo) if parts is None else b"".join(map(get, parts))
+            yield rows[k], document_ids(long[k], memo, chunk) if k in long else short_ids(rows[k], memo) if parts is None else b"".join(map(get, parts))
 
 
-def count_tokens(df: DataFrame, model: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row; map-only, no shuffle."""
+def count_tokens(df: DataFrame, model: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:
+    """id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row; map-only, no shuffle.
+
+    Texts of more than `chunk` characters are encoded in overlapping chunks.
+    """
     name = model or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = encoder(name)
         for batch in batches:
             sizes, counts = [], []
-            for data, ids in batch_ids(batch.column(1), memo):
+            for data, ids in batch_ids(batch.column(1), memo, chunk):
                 sizes.append(len(data))
                 counts.append(len(ids) // 4)
             yield pa.RecordBatch.from_arrays(

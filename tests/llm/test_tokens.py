@@ -15,13 +15,51 @@ def library():
     return Tokenizer.from_file(tokens.vocabulary())
 
 
-@pytest.mark.parametrize("chunk,overlap", [(1 << 16, 256), (16, 4), (7, 2)])
-def test_ids_are_the_librarys(library, chunk, overlap):
-    memo, pick = tokens.encoder(tokens.vocabulary()), random.Random(chunk)
-    for _ in range(800):
-        text = "".join(pick.choice(ALPHABET) for _ in range(pick.randint(0, 60)))
-        got = np.frombuffer(tokens.document_ids(text.encode(), memo, chunk, overlap), "<u4").tolist()
-        assert got == library.encode(text, add_special_tokens=False).ids
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+@pytest.mark.parametrize("chunk,overlap", [(64, 40), (100, 64), (300, 33)])
+def test_spliced_ids_are_the_librarys(name, chunk, overlap):
+    memo, pick, spliced = tokens.encoder(tokens.vocabulary(name)), random.Random(chunk), 0
+    for n in range(150):
+        alphabet = ALPHABET if n % 3 else [*"abc de fg. hi, jk 0 ab's", "we'll ", "  ", "\u00e9 ", "<|endoftext|>"]
+        text = "".join(pick.choice(alphabet) for _ in range(pick.randint(0, 500)))
+        got = np.frombuffer(tokens.document_ids(text, memo, chunk, overlap), "<u4").tolist()
+        assert got == memo.encode(text)
+        spliced += n_chunks(text, memo, chunk, overlap) > 1
+    assert spliced > (50 if name.endswith("json") else 20 if chunk > 64 else -1)  # pieces are up to 16 long, so margins take most of an overlap of 40
+
+
+def n_chunks(text, memo, chunk, overlap):
+    """Chunks that were spliced, counted by the boundaries found."""
+    found, own = [], tokens.boundary
+
+    def seen(*args):
+        found.append(own(*args))
+        return found[-1]
+
+    tokens.boundary = seen
+    try:
+        tokens.document_ids(text, memo, chunk, overlap)
+    finally:
+        tokens.boundary = own
+    return 1 + sum(x is not None for x in found)
+
+
+def test_overlaps_widen_until_a_boundary_is_proven():
+    memo = tokens.encoder(tokens.vocabulary())
+    text = "word " * 40 + "a" * 700 + " more words " * 60
+    assert np.frombuffer(tokens.document_ids(text, memo, 100, 40), "<u4").tolist() == memo.encode(text)
+    assert n_chunks(text, memo, 100, 40) > 3
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_long_documents_of_a_table(spark, name):
+    pick = random.Random(4)
+    words = ["the", "of", "Caf\u00e9", "x1", "don't", "12,5", "\u4e2d\u6587", "(so)", "<|endoftext|>"]
+    rows = [(i, " ".join(pick.choice(words) for _ in range(n))) for i, n in enumerate((0, 3, 900, 4000))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    memo = tokens.encoder(tokens.vocabulary(name))
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df, tokens.vocabulary(name), chunk=2000).collect()}
+    assert got == {i: len(memo.encode(text)) for i, text in rows}
 
 
 def test_batches_of_plain_and_odd_texts(library):
@@ -33,7 +71,7 @@ def test_batches_of_plain_and_odd_texts(library):
 
 def test_long_text_without_white_space(library):
     memo, text = tokens.encoder(tokens.vocabulary()), "a" * 3000 + "." * 50 + "é" * 1000
-    assert len(tokens.document_ids(text.encode(), memo, 64, 8)) // 4 == len(library.encode(text, add_special_tokens=False).ids)
+    assert len(tokens.document_ids(text, memo, 64, 8)) // 4 == len(library.encode(text, add_special_tokens=False).ids)
 
 
 def test_counts_and_edge_rows(spark, library):
