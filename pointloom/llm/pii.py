@@ -5,9 +5,10 @@ time linear in the text. A second pass runs over texts that hold any disguise: t
 rewrite homoglyphs and invisible characters, bracketed or spelled "at" and "dot", and runs of
 spelled digits, and note for every output character the source characters it came from. The
 same detectors run on the rewritten text; a match that contains rewritten characters is mapped
-back to code points of the source and added. Base spans always stay.
+back to code points of the source and added. Base spans always stay. A long text is rewritten piece by
+piece, cut where nothing can go across, so memory does not grow with it.
 
-Null texts count as empty. n_* count base spans, n_added the others; spans holds both. Spans
+Null texts count as empty. Repeated rows are reported once each, and other columns are not read. n_* count base spans, n_added the others; spans holds both. Spans
 of one start are ordered by kind (email, ip, card, phone).
 """
 
@@ -34,6 +35,7 @@ _DIGIT = re.compile("[0-9]")
 # Letters and signs of other scripts that look like ASCII, and their ASCII forms.
 _LOOKALIKES = dict(zip("аеорсухівԁһјӏԛѕԝАВЕКМНОРСТХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxibdhjlqswABEKMHOPCTXIJSaopvikABEZHIKMNOPTYX"))
 _LOOKALIKES |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)} | {"﹫": "@", "․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", " ": " ", " ": " ", " ": " "}
+_LOOKALIKES |= {"\u3000": " "} | {chr(0x1D7CE + k): str(k % 10) for k in range(50)}
 _LOOKALIKES |= {chr(0x0660 + k): str(k) for k in range(10)} | {chr(0x06F0 + k): str(k) for k in range(10)}
 _INVISIBLE = "­​‌‍⁠﻿"
 # Digits as words, in English, German, French and Spanish.
@@ -60,14 +62,22 @@ _DOT = r"(?:dot|punkt|point|punto|\.)"
 _BRACKET_AT = re.compile(rf"\s{{0,2}}(?:\[\s?{_AT}\s?\]|\(\s?{_AT}\s?\)|\{{\s?{_AT}\s?\}}|<\s?{_AT}\s?>)\s{{0,2}}", re.I)
 _BRACKET_DOT = re.compile(rf"\s{{0,2}}(?:\[\s?{_DOT}\s?\]|\(\s?{_DOT}\s?\)|\{{\s?{_DOT}\s?\}}|<\s?{_DOT}\s?>)\s{{0,2}}", re.I)
 # Last labels that make a spelled-out address plausible.
-_LAST = "com|org|net|edu|gov|info|biz|io|co|me|eu|us|uk|ca|de|fr|es|it|nl|ch|at|be|pt|mx|br|ar|au|in|jp|cn|ru|example|test"
+_LAST = "com|org|net|edu|gov|info|biz|io|co|me|eu|us|uk|ca|de|fr|es|it|nl|ch|at|be|pt|mx|br|ar|au|in|jp|cn|ru|pl|se|no|dk|fi|ie|nz|za|kr|dev|app|ai|tech|cloud|online|site|store|shop|blog|xyz|mail|email|example|test"
 _BARE = re.compile(rf"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?: at | arroba |@)[A-Za-z0-9-]++(?:(?: (?:dot|punkt|punto) |\.)(?!(?:{_LAST})\b)[A-Za-z0-9-]++)*+(?:(?: (?:dot|punkt|punto) |\.)(?:{_LAST})\b)+", re.I)
 _BARE_SIGN = re.compile(r" (at|arroba|dot|punkt|punto) ", re.I)
 # What _BARE needs besides spelled dots and "arroba": it is sought from each " at ", so it is cheap.
 _AT_NAME = re.compile(rf" at (?:[A-Za-z0-9-]+\.)+(?:{_LAST})\b", re.I)
+_BARE_SIGN_OR_POINT = re.compile(r" (?:dot|point|punkt|punto) ", re.I)
+_UNDER_SIGN = re.compile("_at_|_dot_", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s?(?:at|arroba|dot|punkt|point|punto|[.@])\s?[\])}>]", re.I)
 _ODD = re.compile("[" + "".join(map(re.escape, sorted({*_LOOKALIKES, *_INVISIBLE}))) + "]")
-_FOLD = {ord(a): b for a, b in _LOOKALIKES.items()}
+# Numbers set apart by spelled dots, and addresses spelled with underscores.
+_DOTTED = re.compile(r"(?<![\w.])[0-9]{1,3}(?: (?:dot|point|punkt|punto) [0-9]{1,3}){3}(?![\w.])", re.I)
+_UNDER = re.compile(r"(?<![\w.%+-])[A-Za-z0-9.%+-]++(?:_(?!at_)[A-Za-z0-9.%+-]++)*+_at_[A-Za-z0-9-]++(?:_dot_[A-Za-z0-9-]++)++(?![\w-])", re.I)
+#: Characters after which a long text is cut before it is rewritten, at the next space or newline between words of eight letters
+#: or more: no disguise and no identifier goes over such a one, as no word that stands for a sign or digit is that long.
+PIECE = 1 << 16
+_GAP = re.compile(r"(?<=[^\W\d_]{8})[ \n](?=[^\W\d_]{8})")
 
 
 def luhn(digits: str) -> bool:
@@ -148,6 +158,8 @@ def normalise(text: str) -> Rewritten:
     out.replace([(m.start(), m.end(), _LOOKALIKES.get(m.group(), "")) for m in _ODD.finditer(out.text)])
     for pattern, sign in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
         out.replace([(m.start(), m.end(), sign) for m in pattern.finditer(out.text)])
+    out.replace([(m.start() + w.start(), m.start() + w.end(), ".") for m in _DOTTED.finditer(out.text) for w in _BARE_SIGN_OR_POINT.finditer(m.group())])
+    out.replace([(m.start() + w.start(), m.start() + w.end(), "@" if w.group().lower() == "_at_" else ".") for m in _UNDER.finditer(out.text) for w in _UNDER_SIGN.finditer(m.group())])
     bare, floor = [], 0
     for m in _BARE.finditer(out.text):
         at = with_spelled_dots(out.text, m.start(), floor)
@@ -174,23 +186,37 @@ def disguised(text: str) -> bool:
     if _BRACKETED.search(text):
         return True
     low = text.lower()
+    if "_at_" in low and "_dot_" in low or " point " in low and _DOTTED.search(text):
+        return True
     if any(x in low for x in (" dot ", " punkt ", " punto ", " arroba ")) or " at " in low and _AT_NAME.search(text):
         return True
     return any(any(c.isalpha() for c in m.group()) for m in _RUN.finditer(text))
 
 
-def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def cuts(text: str, piece: int) -> Iterator[tuple[int, int]]:
+    """Parts of a text that can be rewritten apart."""
+    begin = 0
+    while len(text) - begin > 2 * piece and (m := _GAP.search(text, begin + piece)):
+        yield begin, m.start()
+        begin = m.start()
+    yield begin, len(text)
+
+
+def added(text: str, base: list[tuple[int, int, int]], piece: int = PIECE) -> list[tuple[int, int, int]]:
     """Spans that only the rewritten text shows, at their place in the source."""
-    if not disguised(text):
-        return []
-    own, known, out = normalise(text), set(base), set()
-    for a, kind, b in detect(own.text):
-        if any(own.new[a:b]):
-            while a < b - 1 and own.text[a] == " ":
-                a += 1
-            span = (own.start[a], kind, own.end[b - 1])
-            if span not in known:
-                out.add(span)
+    known, out = set(base), set()
+    for begin, end in cuts(text, piece):
+        part = text[begin:end]
+        if not disguised(part):
+            continue
+        own = normalise(part)
+        for a, kind, b in detect(own.text):
+            if any(own.new[a:b]):
+                while a < b - 1 and own.text[a] == " ":
+                    a += 1
+                span = (begin + own.start[a], kind, begin + own.end[b - 1])
+                if span not in known:
+                    out.add(span)
     return sorted(out)
 
 

@@ -75,7 +75,7 @@ def test_disguises_that_stand_alone(text, found):
 
 def test_gate_loses_nothing(monkeypatch):
     pick = random.Random(7)
-    parts = ["john", "a.b", "mail", "example", " at ", " AT ", " arroba ", " dot ", " Punkt ", ".", "com", "de", "@", "[at]", "(dot)", " ", "–", "​", "5", "five", "plus", " ", " ", "-", " point ", " dash ", "4111", "+49", "é", "а"]
+    parts = ["john", "a.b", "_at_", "_dot_", "192", "mail", "example", " at ", " AT ", " arroba ", " dot ", " Punkt ", ".", "com", "de", "@", "[at]", "(dot)", " ", "–", "​", "5", "five", "plus", " ", " ", "-", " point ", " dash ", "4111", "+49", "é", "а"]
     texts = ["".join(pick.choice(parts) for _ in range(pick.randint(1, 14))) for _ in range(20000)]
     own = [pii.added(x, pii.detect(x)) for x in texts]
     monkeypatch.setattr(pii, "disguised", lambda _: True)
@@ -85,3 +85,47 @@ def test_gate_loses_nothing(monkeypatch):
 def test_chains_of_spelled_dots_end():
     text = "a dot " * 50_000 + "a at b dot com"
     assert [text[a:b] == text for a, _, b in pii.added(text, [])] == [True] and pii.added("a at b " * 50_000, []) == []
+
+
+def test_pieces_find_what_the_whole_text_holds():
+    pick = random.Random(11)
+    parts = ["something", "different", "contains", "Различные", "john at mail dot com", "jane [at]\nmail (dot) org", "plus four nine 1 2 3 4 5 6 7 8", "а@b.сom", "4111　1111　1111　1111", "192 dot 168 dot 1 dot 1", "it", "at", "dot", ".\n", "\n", "five"]
+    for _ in range(60):
+        text = " ".join(pick.choice(parts) for _ in range(300))
+        base = pii.detect(text)
+        whole = pii.added(text, base)
+        assert len(whole) > 10 and pii.added(text, base, 40) == whole and len(list(pii.cuts(text, 40))) > 5
+
+
+def test_memory_does_not_grow_with_a_disguised_text():
+    import tracemalloc
+
+    line = "something different contains john (at) mail (dot) com and а@b.сom here, something different again\n"
+    peaks = []
+    for times in (4_000, 40_000):
+        text = line * times
+        tracemalloc.start()
+        spans = pii.added(text, [])
+        peaks.append(tracemalloc.get_traced_memory()[1] - 200 * len(spans))
+        tracemalloc.stop()
+        assert len(spans) == 2 * times
+    assert peaks[1] < 3 * peaks[0] + (20 << 20)
+
+
+@pytest.mark.parametrize(
+    "text,found,kind",
+    [
+        ("host 192 dot 168 dot 1 dot 1 up", "192 dot 168 dot 1 dot 1", "ip"),
+        ("john at example dot dev", "john at example dot dev", "email"),
+        ("write john_at_example_dot_com now", "john_at_example_dot_com", "email"),
+        ("no ４１１１　１１１１　１１１１　１１１１.", "４１１１　１１１１　１１１１　１１１１", "card"),
+        ("ip \U0001d7cf.\U0001d7d0.\U0001d7d1.\U0001d7d2 ok", "\U0001d7cf.\U0001d7d0.\U0001d7d1.\U0001d7d2", "ip"),
+    ],
+)
+def test_further_disguises(text, found, kind):
+    assert (found, kind) in [(text[a:b], pii.KINDS[k]) for a, k, b in pii.added(text, pii.detect(text))]
+
+
+def test_repeated_rows_and_other_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "x", 5), (1, "a@b.co", "y", 6)], "doc_id bigint, text string, spans string, n_email int")
+    assert [(r.doc_id, r.spans, r.n_email) for r in pii.find_personal_data(df).collect()] == [(1, "email:0:6", 1)] * 2
