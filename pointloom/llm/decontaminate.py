@@ -34,7 +34,15 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import ALNUM, U64, arrow_map, found, grams, joined, mix, slices, split_words, texts
 from pointloom.session import shared_dir, table
 
-WINDOW, K, BLOCK_BYTES = 10, 5, 16 << 20
+WINDOW, K, BLOCK_BYTES = 10, 5, 8 << 20
+#: Hashes whose windows a task remembers.
+KNOWN = 100_000
+
+
+def sorted_once(x: np.ndarray) -> np.ndarray:
+    """The different values in order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def kept(g: np.ndarray, w: int) -> np.ndarray:
@@ -52,31 +60,53 @@ def kept(g: np.ndarray, w: int) -> np.ndarray:
 
 
 class Fingerprints:
-    """One block of test items: fingerprints, windows by length, and which items have them."""
+    """One block of test items in flat arrays: fingerprints, the items' words, and their windows by length.
+
+    About six times as large as the items' text, whatever they hold.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, k: int = K) -> None:
         self.window, self.k = window, k
-        by_window: dict[int, dict[int, tuple[set[str], set[bytes]]]] = {}
-        prints: set[int] = set()
-        for name, text in items:
-            data = ALNUM.lower[np.frombuffer(text, np.uint8)]
-            s, e, h = split_words(data, ALNUM)
-            if not len(h):
-                continue
-            n, raw = min(len(h), window), data.tobytes()
-            words = [raw[a:b] for a, b in zip(s.tolist(), e.tolist())]
-            own = by_window.setdefault(n, {})
-            for i, x in enumerate(grams(h, n, seed=n).tolist()):
-                names, spelled = own.setdefault(x, (set(), set()))
-                names.add(name)
-                spelled.add(b" ".join(words[i : i + n]))
-            if n == window:
-                g = grams(h, k)
-                prints.update(g[kept(g, window - k + 1)].tolist())
-        self.prints = np.array(sorted(prints), U64)
-        self.windows = {n: (np.array(sorted(own), U64), own) for n, own in by_window.items()}
+        self.names = [name for name, _ in items]
+        data, begins = joined([text for _, text in items])
+        data = ALNUM.lower[data]
+        s, e, h = split_words(data, ALNUM)
+        self.raw, self.starts, self.ends = data.tobytes(), s.astype(np.int32), e.astype(np.int32)
+        self.first = np.searchsorted(s, begins)  # the first word of each item
+        sizes = np.diff(self.first)
+        prints = [np.zeros(0, U64)]
+        for i in np.flatnonzero(sizes >= window).tolist():
+            g = grams(h[self.first[i] : self.first[i + 1]], k)
+            prints.append(g[kept(g, window - k + 1)])
+        self.prints = sorted_once(np.concatenate(prints))
+        #: By length: the windows' hashes in order, and the first word of each.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted_once(np.minimum(sizes[sizes > 0], window)).tolist():
+            some = np.flatnonzero(sizes >= window if n == window else sizes == n)
+            counts = sizes[some] - n + 1
+            at = np.arange(counts.sum()) + np.repeat(self.first[some] - (np.cumsum(counts) - counts), counts)
+            keys = grams(h, n, seed=n)[at]
+            order = np.argsort(keys, kind="stable")
+            self.windows[n] = keys[order], at[order].astype(np.int32)
         self.coarse = np.zeros(1 << 16, bool)
         self.coarse[(self.prints >> U64(48)).astype(np.int64)] = True
+        self.known: dict[tuple[int, int], dict[bytes, list[str]]] = {}
+
+    def spelled(self, n: int, key: int) -> dict[bytes, list[str]]:
+        """The windows of a hash, word by word, and the items that hold them; kept for the next hit."""
+        out = self.known.get((n, key))
+        if out is None:
+            keys, at = self.windows[n]
+            lo, hi = np.searchsorted(keys, np.array([key], U64), "left")[0], np.searchsorted(keys, np.array([key], U64), "right")[0]
+            found_in: dict[bytes, set[str]] = {}
+            for i, item in zip(at[lo:hi].tolist(), (np.searchsorted(self.first, at[lo:hi], "right") - 1).tolist()):
+                words = b" ".join([self.raw[a:b] for a, b in zip(self.starts[i : i + n].tolist(), self.ends[i : i + n].tolist())])
+                found_in.setdefault(words, set()).add(self.names[item])
+            out = {words: sorted(names) for words, names in found_in.items()}
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[n, key] = out
+        return out
 
     def candidates(self, h: np.ndarray, n: int) -> np.ndarray:
         """Starts of the windows of n words that may be item windows, rising."""
@@ -90,12 +120,12 @@ class Fingerprints:
         own = own[found(self.prints, g[own]) >= 0]
         if not len(own):
             return own
-        near = np.unique((own[:, None] - np.arange(n - self.k + 1)[None, :]).ravel())
+        near = sorted_once((own[:, None] - np.arange(n - self.k + 1)[None, :]).ravel())
         return near[(near >= 0) & (near + n <= len(h))]
 
-    def hits(self, raw: bytes, s: np.ndarray, e: np.ndarray, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
+    def hits(self, raw: bytes, s: np.ndarray, e: np.ndarray, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, words, item ids) of each item window that occurs inside one document."""
-        for n, (keys, own) in self.windows.items():
+        for n, (keys, _) in self.windows.items():
             at = self.candidates(h, n)
             at = at[doc[at] == doc[at + n - 1]] if len(at) else at
             if not len(at):
@@ -106,8 +136,8 @@ class Fingerprints:
             x = mix(x)
             ok = found(keys, x) >= 0
             for i, key in zip(at[ok].tolist(), x[ok].tolist()):
-                names, spelled = own[key]
-                if b" ".join([raw[a:b] for a, b in zip(s[i : i + n].tolist(), e[i : i + n].tolist())]) in spelled:
+                names = self.spelled(n, key).get(b" ".join([raw[a:b] for a, b in zip(s[i : i + n].tolist(), e[i : i + n].tolist())]))
+                if names:
                     yield i, n, names
 
 

@@ -51,3 +51,33 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.decontaminate(docs, none).first().contaminated is False
     assert D.decontaminate(docs.limit(0), none).count() == 0
+
+
+def test_a_block_of_full_size_is_bounded_in_memory():
+    import pickle
+    import random
+    import tracemalloc
+
+    pick = random.Random(2)
+    items, total = [], 0
+    words = [f"w{pick.randrange(10**6)}" for _ in range(50_000)]
+    while total < D.BLOCK_BYTES:
+        items.append((str(len(items)), " ".join(pick.choice(words) for _ in range(400)).encode()))
+        total += len(items[-1][1])
+    tracemalloc.start()
+    prints = D.Fingerprints(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20 and len(pickle.dumps(prints)) < 80 << 20
+    text = b"some words before " + b" ".join(items[7][1].split()[50:70]) + b" and after"
+    data = D.ALNUM.lower[D.np.frombuffer(text, D.np.uint8)]
+    s, e, h = D.split_words(data, D.ALNUM)
+    assert {x for _, _, names in prints.hits(data.tobytes(), s, e, h, D.np.zeros(len(h), int)) for x in names} == {"7"}
+
+
+def test_repeated_rows_and_items(spark):
+    leak = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {leak} b"), (1, f"a {leak} b"), (2, "clean text")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, leak), (5, leak), (6, leak), (7, None), (8, "")], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in D.decontaminate(docs, items).collect())
+    assert got == [(1, 12, 2, True), (1, 12, 2, True), (2, 0, 0, False)]
