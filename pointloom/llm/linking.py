@@ -68,12 +68,16 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Removes the files of a saved table that nothing reads any more."""
+    """Removes the files of a saved table that nothing reads any more, and the shuffle files of plans that are gone.
+
+    Spark removes these once the driver has collected the objects that name them, which by itself it seldom does.
+    """
     plan = df._jdf.queryExecution().analyzed()
     name = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
     if name is not None and name.isDefined():
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name.get())
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    df.sparkSession._jvm.System.gc()
 
 
 def lookup(rows: DataFrame, values: DataFrame, key: str, n: str) -> DataFrame:
