@@ -60,3 +60,23 @@ def target_width(width: Column, setting: int) -> Column:
 def clear_black(red: Column, green: Column, blue: Column, alpha: Column) -> Column:
     """Alpha with black pixels made transparent."""
     return F.when((red == 0) & (green == 0) & (blue == 0), 0).otherwise(alpha)
+
+
+def camera_json(number: Column, name: Column, position: list[Column], rotation: list[list[Column]], width: Column, height: Column, fov_x: Column, fov_y: Column) -> Column:
+    """A camera as a JSON object: id, name, width, height, position, rotation (rows) and focal lengths in pixels."""
+    fields = {
+        "id": number,
+        "name": name,
+        "width": width,
+        "height": height,
+        "position": F.array(*(x.cast("double") for x in position)),
+        "rotation": F.array(*(F.array(*row) for row in rotation)),
+        "fx": width / (2 * F.tan(fov_x / 2)),
+        "fy": height / (2 * F.tan(fov_y / 2)),
+    }
+    return F.to_json(F.struct(*(x.alias(n) for n, x in fields.items())))
+
+
+def eye_and_up(matrix: Column) -> dict[str, Column]:
+    """Eye, up and forward of a camera-to-world matrix (rows): its last, second and third columns."""
+    return {name: F.array(*(matrix[i][j] for i in range(3))) for name, j in (("eye", 3), ("up", 1), ("forward", 2))}

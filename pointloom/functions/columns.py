@@ -87,6 +87,25 @@ def rotation_matrix(q: list[Column]) -> list[list[Column]]:
     ]
 
 
+def matrix_quaternion(m: list[list[Column]]) -> list[Column]:
+    """Unit quaternion (w, x, y, z) with w >= 0 of a rotation matrix; its largest part is taken from the diagonal, so no part is divided by a small one."""
+    (a, b, c), (d, e, f), (g, h, i) = m
+    squares = [1 + a + e + i, 1 + a - e - i, 1 - a + e - i, 1 - a - e + i]  # four times w, x, y, z squared
+    most = F.greatest(*squares)
+    forms = [
+        [most, h - f, c - g, d - b],
+        [h - f, most, b + d, c + g],
+        [c - g, b + d, most, f + h],
+        [d - b, c + g, f + h, most],
+    ]
+    out = []
+    for k in range(4):
+        part = F.when(squares[0] == most, forms[0][k]).when(squares[1] == most, forms[1][k]).when(squares[2] == most, forms[2][k]).otherwise(forms[3][k])
+        out.append(part / (2 * F.sqrt(most)))
+    sign = F.when(out[0] < 0, -1.0).otherwise(1.0)
+    return [x * sign for x in out]
+
+
 def covariance(q: list[Column], log_scale: list[Column]) -> dict[str, Column]:
     """Upper triangle of R S S' R' for scales exp(log_scale)."""
     r, s = rotation_matrix(q), [F.exp(2 * x) for x in log_scale]
@@ -151,11 +170,12 @@ def safe_path(path: Column) -> Column:
 
 
 def aggregate(strategy: str, x: Column, weight: Column | None = None, higher_is_better: bool = False) -> Column:
-    """One statistic by name; weighted means leave out rows of weight zero before they multiply."""
+    """One statistic by name; weighted means leave out rows of weight zero before they multiply, and a negative weight raises."""
     if strategy in ("uniform_mean", "mean"):
         return F.avg(x)
     if strategy == "weighted_mean":
-        return F.try_divide(F.sum(F.when(weight > 0, x * weight)), F.sum(F.when(weight > 0, weight)))
+        checked = F.when(weight < 0, F.raise_error(F.lit("negative weight")).cast("double")).otherwise(weight)
+        return F.try_divide(F.sum(F.when(checked != 0, x * checked)), F.sum(checked))
     if strategy == "median":
         return F.median(x)
     if strategy == "p95":

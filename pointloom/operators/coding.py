@@ -232,3 +232,8 @@ def serialized_sizes(changes: DataFrame, configurations: DataFrame) -> DataFrame
     index = F.when(F.col("layout") == "ids", 4 * F.col("changed")).when(F.col("layout") == "sparse", F.when(F.col("changed") == F.col("rows"), 0).otherwise(F.least(4 * F.col("changed"), mask))).otherwise(0)
     out = changes.crossJoin(F.broadcast(configurations))
     return out.withColumns({"value_bytes": F.ceil(sent * F.col("components") * F.col("width") / 8).cast("bigint"), "index_bytes": index.cast("bigint")})
+
+
+def labelled(members: DataFrame, frame: str, attribute: str, stable: Column) -> DataFrame:
+    """Stream names of per-frame packets (attribute and frame), the attribute itself, and whether ids stay the same."""
+    return members.withColumns({"stream": F.concat(F.lit(f"{attribute}_frame"), F.col(frame).cast("string")), "attribute": F.lit(attribute), "stable": stable})

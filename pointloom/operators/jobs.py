@@ -53,3 +53,33 @@ def stride_sample(rows: DataFrame, order: str, wanted: int) -> DataFrame:
     total = rows.agg(F.count("*").alias("_n"))
     picks = spark.range(wanted).crossJoin(F.broadcast(total)).select(F.floor(F.col("id") * F.col("_n") / wanted).cast("int").alias("_p")).distinct()
     return placed.join(F.broadcast(picks), "_p", "left_semi").drop("_p")
+
+
+def planned(tasks: DataFrame, journal: DataFrame, key: str, digest: str) -> DataFrame:
+    """What a run would do with each task: skip (done with this hash), again (done with another one) or run."""
+    done = journal.select(key, F.col(digest).alias("_done"))
+    action = F.when(F.col("_done").isNull(), "run").when(F.col("_done") == F.col(digest), "skip").otherwise("again")
+    return tasks.join(done, key, "left").select(key, action.alias("action"))
+
+
+def stage_status(tasks: DataFrame, stage: str, state: str, completed: str, failed: str) -> DataFrame:
+    """Per stage its tasks and their common status: completed (all), failed (any) or running."""
+    out = tasks.groupBy(stage).agg(F.count("*").alias("tasks"), F.count_if(F.col(state) == completed).alias("completed"), F.count_if(F.col(state) == failed).alias("_failed"))
+    return out.withColumn("status", F.when(F.col("tasks") == F.col("completed"), "completed").when(F.col("_failed") > 0, "failed").otherwise("running")).drop("_failed")
+
+
+def training_report(cameras: DataFrame, ordinal: str, split: str, metrics: Sequence[str], every: int) -> DataFrame:
+    """Means of the metrics over every n-th camera of a split."""
+    own = cameras.where(F.col(ordinal) % every == 0).groupBy(split)
+    return own.agg(F.count("*").alias("cameras"), *(F.avg(m).alias(m) for m in metrics))
+
+
+def with_commands(tasks: DataFrame, commands: DataFrame, keys: Sequence[str], command: str, default: str) -> DataFrame:
+    """Each task with its first recorded command, or the default."""
+    first = commands.groupBy(*keys).agg(F.min(command).alias(command))
+    return tasks.join(first, list(keys), "left").withColumn(command, F.coalesce(command, F.lit(default)))
+
+
+def ordered(rows: DataFrame, within: Sequence[str], by: Sequence, place: str) -> DataFrame:
+    """The place of each row by several keys; without `within`, rows have to be a short list."""
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*within).orderBy(*by)))

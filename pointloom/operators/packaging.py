@@ -1,4 +1,4 @@
-"""Frames, groups of frames, refreshes, segments, offsets and access closure."""
+"""Frames, groups of frames, refreshes, segments and offsets."""
 
 from __future__ import annotations
 
@@ -52,22 +52,6 @@ def offsets(members: DataFrame, keys: Sequence[str], position: str, size: str) -
     return members.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint"))
 
 
-def closure(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
-    """(node, needs, depth) of everything a node depends on, itself at depth 0, by a recursive query.
-
-    nodes has id; edges has id and parent. A cycle or a chain over the limit raises.
-    """
-    spark = nodes.sparkSession
-    nodes.select("id").createOrReplaceTempView("_closure_nodes")
-    edges.select("id", "parent").createOrReplaceTempView("_closure_edges")
-    return spark.sql(
-        f"""with recursive c(node, needs, depth) max recursion level {limit} as (
-              select id, id, 0 from _closure_nodes
-              union all select c.node, e.parent, c.depth + 1 from c join _closure_edges e on e.id = c.needs)
-            select node, needs, depth from c"""
-    )
-
-
 def missing_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges to parents that do not exist."""
     return edges.join(nodes.select(F.col("id").alias("parent")), "parent", "left_anti")

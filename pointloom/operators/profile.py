@@ -21,11 +21,26 @@ def summarize(facts: DataFrame, keys: Sequence[str], value: str, weight: str | N
     return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_count"), *(if_complete(x, s).alias(n) for n, s in stats.items()))
 
 
-def gains(facts: DataFrame, view_keys: Sequence[str], rank: str, value: str) -> DataFrame:
-    """Loss saved by going from each quality to the next higher one at the same view."""
-    w = Window.partitionBy(*view_keys).orderBy(rank)
-    out = facts.withColumns({"quality_to": F.lead(rank).over(w), "gain": F.col(value) - F.lead(value).over(w)})
-    return out.where("quality_to is not null").withColumnRenamed(rank, "quality_from").select(*view_keys, "quality_from", "quality_to", "gain")
+def gains(facts: DataFrame, view_keys: Sequence[str], rank: str, value: str, order: Sequence[str] | None = None) -> DataFrame:
+    """Loss saved by going from each quality to the next higher one at the same view.
+
+    With `order`, qualities are paired as it lists them, and a view that lacks one raises.
+    """
+    w = Window.partitionBy(*view_keys).orderBy("_rank")
+    ranks = F.array_position(F.array(*map(F.lit, order)), F.col(rank)) if order else F.col(rank)
+    out = facts.withColumn("_rank", ranks).where(F.col("_rank") > 0) if order else facts.withColumn("_rank", ranks)
+    out = out.withColumns({"quality_to": F.lead(rank).over(w), "gain": F.col(value) - F.lead(value).over(w), "_next": F.lead("_rank").over(w), "_first": F.row_number().over(w)})
+    if order:
+        whole = (F.col("_rank") == F.col("_first")) & (F.coalesce("_next", F.lit(len(order) + 1)) == F.col("_rank") + 1)
+        out = out.withColumn("gain", F.when(whole, F.col("gain")).otherwise(F.raise_error(F.lit("a view lacks a quality")).cast("double")))
+    out = out.where("quality_to is not null" if not order else "quality_to is not null or gain is not null")
+    return out.withColumnRenamed(rank, "quality_from").select(*view_keys, "quality_from", "quality_to", "gain")
+
+
+def missing_qualities(facts: DataFrame, view_keys: Sequence[str], rank: str, order: Sequence[str]) -> DataFrame:
+    """(view, quality) that are not there, for views with at least one of the qualities."""
+    seen = facts.where(F.col(rank).isin(*order)).groupBy(*view_keys).agg(F.collect_set(rank).alias("_seen"))
+    return seen.select(*view_keys, F.explode(F.array_except(F.array(*map(F.lit, order)), "_seen")).alias(rank))
 
 
 def conflicting(facts: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -99,3 +114,9 @@ def multilinear(grid: DataFrame, probes: DataFrame, probe_id: str, value: str) -
     weight = F.col("_w_azimuth") * F.col("_w_elevation") * F.col("_w_scale") * F.col("_w_timestamp")
     found = grid.join(F.broadcast(corners.withColumn("_w", weight)), list(SPAN_FLOORS))
     return found.groupBy(probe_id).agg((F.sum(F.col(value) * F.col("_w"))).alias(value), F.count("*").cast("bigint").alias("corners"), (F.sum("_w") > 1 - 1e-9).alias("complete"))
+
+
+def document(facts: DataFrame, quality: str, version: int = 1) -> DataFrame:
+    """The head of a profile document as JSON: version, samples and qualities."""
+    one = facts.agg(F.count("*").alias("samples"), F.count_distinct(quality).alias("qualities"))
+    return one.select(F.to_json(F.struct(F.lit(version).alias("version"), "samples", "qualities")).alias("document"))

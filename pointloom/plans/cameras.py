@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions import cameras as K
-from pointloom.functions.columns import norm, sigmoid, snap, vector
-from pointloom.plans.named import ORACLE, named
+from pointloom.functions.columns import norm, rotation_matrix, sigmoid, snap, unit, vector
+from pointloom.plans.named import named
 from pointloom.plans.profiles import s
 from pointloom.session import table
 
@@ -55,15 +55,8 @@ def splat_footprint(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", snap(K.splat_radius(a, b, c)).alias("radius"), snap(K.splat_alpha(F.lit(0.5), F.lit(-0.25), a, b, c, F.col("o"))).alias("alpha"))
 
 
-@named("learning_rate", f"""select event_id, {s("1000 * (0.01 + 0.99 * sin(pi() / 2 * least(1, event_id / 500.0::double))) * exp(ln(0.016) * (1 - least(1, event_id / 3000.0::double)) + ln(0.00016) * least(1, event_id / 3000.0::double))", "rate")} from events where event_id % 10 = 0""")
+@named("learning_rate", f"""select event_id, {s("1000 * (0.01 + 0.99 * sin(pi() / 2 * least(1, event_id / 500.0::double))) * exp(ln(0.016) * (1 - least(1, event_id / 3000.0::double)) + ln(0.00016) * least(1, event_id / 3000.0::double))", "rate")} from events""")
 def learning_rate(spark: SparkSession, sf: str) -> DataFrame:
-    rate = K.learning_rate(F.col("event_id"), 0.016, 0.00016, 3000, 500, 0.01)
-    return table(spark, sf, "events").where("event_id % 10 = 0").select("event_id", snap(1000 * rate).alias("rate"))
-
-
-@named("learning_rate_all", ORACLE["learning_rate"].replace(" where event_id % 10 = 0", ""))
-def learning_rate_all(spark: SparkSession, sf: str) -> DataFrame:
-    """learning_rate of all events."""
     rate = K.learning_rate(F.col("event_id"), 0.016, 0.00016, 3000, 500, 0.01)
     return table(spark, sf, "events").select("event_id", snap(1000 * rate).alias("rate"))
 
@@ -102,16 +95,33 @@ def scene_results(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("views"), snap(F.avg("l_discount")).alias("ssim"), snap(F.avg("l_tax")).alias("lpips"), snap(F.avg("l_quantity")).alias("psnr"))
 
 
-@named("image_pairs", """select a.doc_id, a.n_chars, b.n_chars as other_chars from documents a join documents b on b.doc_id = a.doc_id + 1 and a.lang = b.lang""")
+@named(
+    "image_pairs",
+    """with r as (select vec_id, 'view_' || vec_id || '.png' as name, embedding[1] as value from embeddings where vec_id % 7 <> 3), g as (select 'view_' || vec_id || '.png' as name, embedding[2] as value from embeddings where vec_id % 5 <> 1)
+    select name, r.value::double as render, g.value::double as truth from r join g using (name)""",
+)
 def image_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("n_chars").alias("other_chars")), ["doc_id", "lang"]).select("doc_id", "n_chars", "other_chars")
+    """Renders and true images, each in a folder of its own, meet by file name; a name that one side lacks has no pair."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("view_"), F.col("vec_id").cast("string"), F.lit(".png")).alias("name"), "embedding")
+    renders = e.where("vec_id % 7 <> 3").select("name", F.col("embedding")[0].cast("double").alias("render"))
+    truths = e.where("vec_id % 5 <> 1").select("name", F.col("embedding")[1].cast("double").alias("truth"))
+    return renders.join(truths, "name")
 
 
-@named("camera_json", """select s_suppkey, '{"id":' || s_suppkey || ',"name":"' || s_name || '","position":[' || s_nationkey || ',' || (s_nationkey + 1) || ']}' as json from supplier""")
+@named(
+    "camera_json",
+    f"""with q as (select s_suppkey, s_nationkey, s_name, s_suppkey % 5 + 1.0::double as w, s_suppkey % 3 + 0.0::double as x, s_nationkey % 4 + 0.0::double as y, s_nationkey % 2 + 0.0::double as z from supplier),
+    u as (select *, sqrt(w*w + x*x + y*y + z*z) as n from q), v as (select s_suppkey, s_nationkey, s_name, w/n as w, x/n as x, y/n as y, z/n as z from u)
+    select s_suppkey as id, s_name as name, s_nationkey::double as p0, (s_nationkey + 1)::double as p1, {s("1 - 2 * (y*y + z*z)", "r00")}, {s("2 * (x*y - w*z)", "r01")}, {s("2 * (y*z + w*x)", "r21")}, {s("800 / (2 * tan((0.5 + s_nationkey / 100.0::double) / 2))", "fx")}, {s("600 / (2 * tan(0.6::double / 2))", "fy")} from v""",
+)
 def camera_json(spark: SparkSession, sf: str) -> DataFrame:
-    row = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array(F.col("s_nationkey"), F.col("s_nationkey") + 1).alias("position"))
-    return table(spark, sf, "supplier").select("s_suppkey", F.to_json(row).alias("json"))
+    """Each camera's JSON (position, 3 x 3 rotation, focal lengths), read back into columns."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    q = unit([(x).cast("double") for x in (k % 5 + 1, k % 3, n % 4, n % 2)])
+    rows = table(spark, sf, "supplier").select(K.camera_json(k, F.col("s_name"), [n, n + 1, F.lit(0)], rotation_matrix(q), F.lit(800), F.lit(600), 0.5 + n / 100, F.lit(0.6)).alias("json"))
+    out = rows.select(F.from_json("json", "id bigint, name string, position array<double>, rotation array<array<double>>, fx double, fy double").alias("c"))
+    r = lambda i, j: snap(F.col("c.rotation")[i][j])
+    return out.select(F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.position")[0].alias("p0"), F.col("c.position")[1].alias("p1"), r(0, 0).alias("r00"), r(0, 1).alias("r01"), r(2, 1).alias("r21"), snap(F.col("c.fx")).alias("fx"), snap(F.col("c.fy")).alias("fy"))
 
 
 @named("initial_attributes", f"""select vec_id, {s("ln(0.1 / 0.9)::double", "opacity")}, 1.0::double as rotation0, {s("(embedding[12]::double / 2 + 0.5 - 0.5) / 0.28209479177387814", "sh0")} from embeddings""")

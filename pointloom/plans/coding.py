@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.columns import index_bytes, index_kind, packed_bytes, snap
 from pointloom.operators import coding
-from pointloom.plans.named import ORACLE, named
+from pointloom.plans.named import named
 from pointloom.plans.profiles import s
 from pointloom.session import table
 
@@ -103,24 +103,17 @@ def sparse_decode(spark: SparkSession, sf: str) -> DataFrame:
 
 @named(
     "closed_loop_temporal",
-    """with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as n from events where user_id <= 20),
+    """with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as n from events),
     r as (select user_id, event_id, n, round_even(value / 0.5, 0)::bigint as q, round_even(value / 0.5, 0) * 0.5 as decoded, value from o where n = 1
       union all select o.user_id, o.event_id, o.n, round_even((o.value - r.decoded) / 0.5, 0)::bigint, r.decoded + round_even((o.value - r.decoded) / 0.5, 0) * 0.5, o.value from r join o on o.user_id = r.user_id and o.n = r.n + 1)
     select user_id, event_id, q, decoded::double as decoded, abs(value - decoded) <= 0.25 + 1e-9 as within from r""",
 )
 def closed_loop_temporal(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").where("user_id <= 20").select("user_id", "event_id", "value")
+    rows = table(spark, sf, "events").select("user_id", "event_id", "value")
     out = coding.closed_loop(rows, ["user_id"], "event_id", "value", 0.5)
     return out.select("user_id", "event_id", "q", "decoded", (F.col("error") <= 0.25 + 1e-9).alias("within"))
 
 
-@named("closed_loop_temporal_all", ORACLE["closed_loop_temporal"].replace(" where user_id <= 20", ""))
-def closed_loop_temporal_all(spark: SparkSession, sf: str) -> DataFrame:
-    """closed_loop_temporal over the events of all users."""
-    out = coding.closed_loop(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 0.5)
-    return out.select("user_id", "event_id", "q", "decoded", (F.col("error") <= 0.25 + 1e-9).alias("within"))
-
-
 @named(
     "content_hash_dedupe",
     "select sha256(text) as digest, count(*) as copies, min(doc_id) as first_doc from documents group by 1",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.columns import safe_path, snap
 from pointloom.operators import jobs
-from pointloom.plans.named import ORACLE, named
+from pointloom.plans.named import named
 from pointloom.plans.profiles import s
 from pointloom.session import table
 
@@ -44,18 +44,11 @@ def later_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 @named(
     "ema_fold",
-    f"""with recursive o as (select user_id, value, row_number() over (partition by user_id order by event_id) as n, count(*) over (partition by user_id) as c from events where user_id < 30),
+    f"""with recursive o as (select user_id, value, row_number() over (partition by user_id order by event_id) as n, count(*) over (partition by user_id) as c from events),
     r as (select user_id, n, c, 0.4 * value as a from o where n = 1 union all select o.user_id, o.n, o.c, 0.4 * o.value + 0.6 * r.a from r join o on o.user_id = r.user_id and o.n = r.n + 1)
     select user_id, {s("a", "average")} from r where n = c""",
 )
 def ema_fold(spark: SparkSession, sf: str) -> DataFrame:
-    out = jobs.moving_average(table(spark, sf, "events").where("user_id < 30"), ["user_id"], "event_id", "value")
-    return out.withColumn("average", snap(F.col("average")))
-
-
-@named("ema_fold_all", ORACLE["ema_fold"].replace(" where user_id < 30", ""))
-def ema_fold_all(spark: SparkSession, sf: str) -> DataFrame:
-    """ema_fold over the events of all users."""
     out = jobs.moving_average(table(spark, sf, "events"), ["user_id"], "event_id", "value")
     return out.withColumn("average", snap(F.col("average")))
 

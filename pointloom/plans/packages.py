@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.operators import packaging
+from pointloom.operators import graph, packaging
 from pointloom.plans.named import named
 from pointloom.session import table
 
@@ -72,7 +72,7 @@ def segment_offsets(spark: SparkSession, sf: str) -> DataFrame:
 def cold_access(spark: SparkSession, sf: str) -> DataFrame:
     members = _members(spark, sf).withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
     edges = members.where("turn % 4 > 0").select("id", (F.col("id") - 1).alias("parent"))
-    reach = packaging.closure(members, edges)
+    reach = graph.closure(members, edges)
     return reach.join(members.select(F.col("id").alias("needs"), "bytes"), "needs").groupBy("node").agg(F.count("*").alias("payloads"), F.sum("bytes").alias("payload_bytes"), F.max("depth").alias("depth"))
 
 

@@ -227,10 +227,20 @@ def train_test_stride(spark: SparkSession, sf: str) -> DataFrame:
     return scenes.train_test(table(spark, sf, "customer").select("c_name"), "c_name")
 
 
-@named("ssim_identity", "select vec_id, 1.0::double as ssim from embeddings")
-def ssim_identity(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / 2 + 0.5).alias("a"))
-    return scenes.ssim(e.withColumn("b", F.col("a")), "vec_id", "a", "b", 8).withColumn("ssim", snap(F.col("ssim")))
+@named(
+    "ssim_neighbours",
+    f"""with e as (select a.vec_id, a.embedding::double[] as a, b.embedding::double[] as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+    px as (select vec_id, i, a[i + 1] / 2 + 0.5 as p, b[i + 1] / 2 + 0.5 as q from e, range(64) r(i)),
+    total as (select sum(exp(-d * d / 4.5::double)) as t from range(-5, 6) r(d)),
+    g as (select i, j, exp(-(pow(i % 8 - j % 8, 2) + pow(i // 8 - j // 8, 2)) / 4.5::double) / (t * t) as w from range(64) x(i), range(64) y(j), total where abs(i % 8 - j % 8) <= 5 and abs(i // 8 - j // 8) <= 5),
+    m as (select vec_id, g.i, sum(w * p) as mp, sum(w * q) as mq, sum(w * p * p) as pp, sum(w * q * q) as qq, sum(w * p * q) as pq from px join g on px.i = g.j group by 1, 2)
+    select vec_id, {s("avg((2 * mp * mq + 1e-4) * (2 * (pq - mp * mq) + 9e-4) / ((mp * mp + mq * mq + 1e-4) * (pp - mp * mp + qq - mq * mq + 9e-4)))", "ssim")} from m group by 1""",
+)
+def ssim_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Each raster of 8 x 8 against the next one."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 64), lambda x: x.cast("double") / 2 + 0.5).alias("a"))
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return scenes.ssim(both, "vec_id", "a", "b", 8).withColumn("ssim", snap(F.col("ssim")))
 
 
 @named("camera_join", """select n_name, r_name, count(*) as cameras from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2""")

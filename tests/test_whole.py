@@ -13,7 +13,7 @@ def events(spark):
 
 
 def test_closed_loop_of_all_users(spark, events):
-    got = {(r.user_id, r.event_id): (r.q, r.decoded) for r in queries()["closed_loop_temporal_all"](spark, SF).collect()}
+    got = {(r.user_id, r.event_id): (r.q, r.decoded) for r in queries()["closed_loop_temporal"](spark, SF).collect()}
     want, user, decoded = {}, None, 0.0
     for u, e, value in events:
         decoded = 0.0 if u != user else decoded
@@ -27,9 +27,9 @@ def test_moving_average_of_all_users(spark, events):
     want = {}
     for u, _, value in events:
         want[u] = 0.4 * value + 0.6 * want.get(u, 0.0)
-    got = {r.user_id: r.average for r in queries()["ema_fold_all"](spark, SF).collect()}
+    got = {r.user_id: r.average for r in queries()["ema_fold"](spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-6) and max(got) >= 30
 
 
 def test_learning_rate_of_all_events(spark, events):
-    assert sorted(r.event_id for r in queries()["learning_rate_all"](spark, SF).collect()) == sorted(e for _, e, _ in events)
+    assert sorted(r.event_id for r in queries()["learning_rate"](spark, SF).collect()) == sorted(e for _, e, _ in events)
