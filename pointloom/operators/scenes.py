@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from pointloom.functions.columns import norm, psnr, quaternion_product
 from pointloom.session import shared_dir
 
+# Most places in a cell of the first search for neighbours.
+FULL_CELL = 64
+
 
 def camera_spread(cameras: DataFrame, centre: Sequence[str]) -> DataFrame:
     """translate = -(mean centre), radius = 1.1 x the largest distance from it."""
@@ -67,62 +71,68 @@ def box_centre(points: DataFrame, axes: Sequence[str]) -> DataFrame:
     return points.agg(*(((F.min(a) + F.max(a)) / 2).alias(f"c_{a}") for a in axes))
 
 
-def nearest_scale(points: DataFrame, id_col: str, axes: Sequence[str], cell: float, k: int = 3) -> DataFrame:
-    """log of the root mean squared distance to the k nearest neighbours, sought in the 27 cells around a point.
-
-    Points with fewer than k neighbours there (outliers for this cell size) are told by `found`.
-    """
-    cells = points.select(id_col, *axes, *(F.floor(F.col(a) / cell).alias(f"v{i}") for i, a in enumerate(axes)))
-    around = cells
-    for i in range(len(axes)):
-        around = around.withColumn(f"v{i}", F.explode(F.array(*(F.col(f"v{i}") + d for d in (-1, 0, 1)))))
-    other = cells.select(F.col(id_col).alias("_o"), *(F.col(a).alias(f"_{a}") for a in axes), *(f"v{i}" for i in range(len(axes))))
-    pairs = around.join(other, [f"v{i}" for i in range(len(axes))]).where(F.col(id_col) != F.col("_o"))
-    d2 = sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes), F.lit(0.0))
-    w = Window.partitionBy(id_col).orderBy("_d", "_o")
-    near = pairs.withColumn("_d", d2).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-    return near.groupBy(id_col).agg(F.count("*").alias("found"), F.log(F.sqrt(F.greatest(F.avg("_d"), F.lit(1e-7)))).alias("log_scale"))
-
-
 def _saved(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def nearest_scale_exact(points: DataFrame, id_col: str, axes: Sequence[str], cell: float, k: int = 3) -> DataFrame:
-    """nearest_scale over the k true nearest neighbours of each point; `found` is under k only if there are no more points.
+def nearest_scale(points: DataFrame, id_col: str, axes: Sequence[str], cell: float, k: int = 3) -> DataFrame:
+    """log of the root mean squared distance to the k true nearest neighbours; `found` is under k only if there are no more points.
 
-    The 27 cells around a point hold every point within one cell size. Where the k-th distance is larger
-    (or fewer are found), the search is repeated in cells of twice the size, until one block holds the whole cloud.
+    Points at one place are one row with a count, so copies make no pairs. The 27 cells around a place hold
+    all that lies within one cell size. Where the k-th distance is larger (or fewer are found), the search is
+    repeated in cells of twice the size, until one block holds the whole cloud. A point without neighbours,
+    or with a null or infinite coordinate, gives no row.
     """
-    points = _saved(points.select(id_col, *axes))
-    ends = points.agg(*(F.max(F.when(F.abs(a) < float("inf"), F.abs(a))) for a in axes)).first()
+    finite = reduce(lambda x, y: x & y, (F.abs(a) < float("inf") for a in axes))
+    points = _saved(points.select(id_col, *axes).where(finite))
+    places = _saved(points.groupBy(*axes).agg(F.count("*").alias("_c")))
+    n, *ends = places.agg(F.count("*"), *(F.max(F.abs(a)) for a in axes)).first()
     extent = 2 * max((x for x in ends if x is not None), default=0.0)
-    # Dense clouds begin with smaller cells, as a block of full cells has far more points than k.
-    n = points.count()
-    if n and extent > 0:
-        cell = min(cell, extent / (2 * n ** (1 / 3)))
-    own, out = points, None
-    while True:
-        size = cell
-        low = lambda df: [F.floor(F.col(a) / size).alias(f"v{i}") for i, a in enumerate(axes)]  # noqa: B023, E731
-        around = own.select(id_col, *axes, *low(own))
-        for i in range(len(axes)):
-            around = around.withColumn(f"v{i}", F.explode(F.array(*(F.col(f"v{i}") + d for d in (-1, 0, 1)))))
-        other = points.select(F.col(id_col).alias("_o"), *(F.col(a).alias(f"_{a}") for a in axes), *low(points))
-        pairs = around.join(other, [f"v{i}" for i in range(len(axes))]).where(F.col(id_col) != F.col("_o"))
+    grid = [f"_v{i}" for i in range(len(axes))]
+
+    def within(df: DataFrame, size: float) -> DataFrame:
+        return df.withColumns({v: F.floor(F.col(a) / size) for v, a in zip(grid, axes)})
+
+    def spread(df: DataFrame) -> DataFrame:
+        for v in grid:
+            df = df.withColumn(v, F.explode(F.array(*(F.col(v) + d for d in (-1, 0, 1)))))
+        return df
+
+    alone = F.col("_c") > k if n > 1 else F.lit(True)
+    out = places.where(alone).select(*axes, F.least(F.col("_c") - 1, F.lit(k)).alias("found"), F.lit(0.0).alias("_mean"))
+    own = places.where(~alone)
+    size = min(cell, extent / (2 * n ** (1 / 3))) if n and extent > 0 else cell
+    # A block of full cells has far more places than k, so the fullest one sets the first size.
+    while size > extent * 1e-12 and n > FULL_CELL and within(places, size).groupBy(*grid).count().agg(F.max("count")).first()[0] > FULL_CELL:
+        size /= 4
+    while n > 1:
+        left = own.count()
+        if not left:
+            break
+        mine = within(own, size)
+        other = within(places, size).select(*grid, *(F.col(a).alias(f"_{a}") for a in axes), F.col("_c").alias("_m"))
+        # Spread neighbours keep all pairs of a place in its own cell's task; spreading a small rest is cheaper.
+        few = left * 8 < n
+        mine, other = (spread(mine), other) if few else (mine, spread(other))
+        keys = list(axes) if few else [*grid, *axes]
+        apart = reduce(lambda x, y: x | y, (F.col(a) != F.col(f"_{a}") for a in axes))
         d2 = sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes), F.lit(0.0))
-        w = Window.partitionBy(id_col).orderBy("_d", "_o")
-        near = pairs.withColumn("_d", d2).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-        near = near.groupBy(id_col).agg(F.count("*").alias("found"), F.max("_d").alias("_far"), F.log(F.sqrt(F.greatest(F.avg("_d"), F.lit(1e-7)))).alias("log_scale"))
+        w = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        near = mine.join(other, grid).where(apart).withColumn("_d", d2)
+        near = near.withColumns({"_n": F.row_number().over(w), "_run": F.sum("_m").over(w)}).where(F.col("_n") <= k)
+        used = F.greatest(F.lit(0), F.least(F.col("_m"), k + 1 - F.col("_c") - (F.col("_run") - F.col("_m"))))
+        near = near.withColumn("_u", used).where("_u > 0").groupBy(*keys).agg((F.min("_c") - 1 + F.sum("_u")).alias("found"), F.sum(F.col("_u") * F.col("_d")).alias("_sum"), F.max("_d").alias("_far"))
         whole = size >= extent
         # A hair under the cell size, as floor(a / size) is rounded.
-        near = _saved(near.where(F.lit(whole) | (F.col("found") == k) & (F.sqrt("_far") <= size * (1 - 1e-9))).select(id_col, "found", "log_scale"))
-        out = near if out is None else out.unionByName(near)
-        own = _saved(own.join(near, id_col, "left_anti"))
-        if whole or own.isEmpty():
-            return out
-        cell = 2 * size
+        sure = F.lit(whole) | (F.col("found") == k) & (F.sqrt("_far") <= size * (1 - 1e-9))
+        near = _saved(near.where(sure).select(*axes, "found", (F.col("_sum") / F.col("found")).alias("_mean")))
+        out = out.unionByName(near)
+        if whole:
+            break
+        own = _saved(own.join(near, list(axes), "left_anti"))
+        size *= 2
+    return points.join(out, list(axes)).where("found > 0").select(id_col, "found", F.log(F.sqrt(F.greatest(F.col("_mean"), F.lit(1e-7)))).alias("log_scale"))
 
 
 def image_quality(pixels: DataFrame, image: Sequence[str], a: str, b: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("profiles", "ledgers", "packages", "states", "coding", "scenes", "cameras", "jobs", "checks")
+_MODULES = ("profiles", "ledgers", "packages", "states", "coding", "scenes", "cameras", "jobs", "checks", "stores")
 
 
 def _load() -> None:

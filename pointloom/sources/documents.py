@@ -12,13 +12,19 @@ TRANSFORMS = "camera_angle_x double, frames array<struct<file_path: string, tran
 
 
 def read_transforms(spark: SparkSession, path: str) -> DataFrame:
-    """One row per view: image name, field of view, rotation (camera to world, y and z flipped) and position."""
+    """One row per view of the document at a path."""
     doc = spark.read.schema(TRANSFORMS).json(path, multiLine=True)
-    rows = doc.select("camera_angle_x", F.posexplode("frames").alias("position", "frame"))
+    return transforms(doc.select(F.struct("camera_angle_x", "frames").alias("doc")))
+
+
+def transforms(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row per view of each `doc`: image name, field of view, rotation (camera to world, y and z flipped) and position."""
+    rows = docs.select(*keep, "doc.camera_angle_x", F.posexplode("doc.frames").alias("position", "frame"))
     name = F.col("frame.file_path")
     m = F.col("frame.transform_matrix")
     flipped = F.transform(F.slice(m, 1, 3), lambda r: F.array(F.element_at(r, 1), -F.element_at(r, 2), -F.element_at(r, 3)))
     return rows.select(
+        *keep,
         "position",
         F.when(name.endswith(".png"), name).otherwise(F.concat(name, F.lit(".png"))).alias("image"),
         F.col("camera_angle_x").alias("fov_x"),

@@ -136,25 +136,31 @@ class _Reader(DataSourceReader):
         yield from zip(*columns)
 
 
-def read_ply(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
-    """path, row_idx and the named vertex fields (name -> Spark type) of many files, from any store.
-
-    A whole file is one row of the binary reader, so each has to fit a task; see PlySource for larger ones.
-    """
+def parse_ply(files: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Rows of files given as (key, bytes): the key, row_idx and the named vertex fields (name -> Spark type)."""
     import pyarrow as pa
 
-    names = list(fields)
+    names, key = list(fields), files.columns[0]
+    kinds = {"float": "f4", "double": "f8", "int": "i4", "bigint": "i8"}
 
     def run(batches):
         for batch in batches:
-            for path_, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, content in enumerate(batch.column(1)):
                 rows = vertices(content.as_py())
-                arrays = [pa.array([path_] * len(rows)), pa.array(np.arange(len(rows), dtype=np.int64))]
-                arrays += [pa.array(rows[n].astype({"float": "f4", "double": "f8", "int": "i4", "bigint": "i8"}[fields[n]])) for n in names]
-                yield pa.RecordBatch.from_arrays(arrays, names=["path", "row_idx", *names])
+                own = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
+                arrays = [own, pa.array(np.arange(len(rows), dtype=np.int64)), *(pa.array(rows[n].astype(kinds[fields[n]])) for n in names)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[key, "row_idx", *names])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.mapInArrow(run, f"`{key}` {kind}, row_idx bigint, " + ", ".join(f"`{n}` {t}" for n, t in fields.items()))
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, row_idx bigint, " + ", ".join(f"`{n}` {t}" for n, t in fields.items()))
+
+def read_ply(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """path, row_idx and the named vertex fields of many files, from any store.
+
+    A whole file is one row of the binary reader, so each has to fit a task; see PlySource for larger ones.
+    """
+    return parse_ply(spark.read.format("binaryFile").load(path).select("path", "content"), fields)
 
 
 def write_ply(rows: DataFrame, key: str, row_col: str, fields: dict[str, str], folder: str) -> DataFrame:

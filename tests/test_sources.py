@@ -117,3 +117,22 @@ def test_packets_and_packing():
         coding.container_member(box[:-1], "b")
     with pytest.raises(ValueError):
         coding.half_floats(np.array([1e6]))
+
+
+def test_states_are_checked():
+    from pointloom.sources import states
+
+    data = states.state_bytes({"x": np.arange(3, dtype="f4"), "id": np.arange(3)})
+    assert states.state_arrays(data, ["x"])["x"].tolist() == [0, 1, 2]
+    for bad in ({"x": np.zeros(2), "y": np.zeros(3)}, {"x": np.array([1.0, np.nan])}):
+        with pytest.raises(ValueError):
+            states.state_bytes(bad)
+    with pytest.raises(ValueError):
+        states.state_arrays(data, ["z"])
+
+
+def test_states_of_no_rows(spark):
+    from pointloom.sources import states
+
+    none = states.save_states(spark.createDataFrame([], "block int, row bigint, x float"), "block", "row", {"x": "float"})
+    assert states.load_states(none, {"x": "float"}).collect() == []
