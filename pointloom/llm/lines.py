@@ -44,15 +44,12 @@ def folded(line: Column) -> Column:
 
 def shingles(lines: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all windows of k code points, line of each)."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
-    sizes = np.array([len(x) for x in lines], np.int64)
+    points, sizes = coded(lines)
     windows = np.maximum(sizes - k + 1, 0)
-    line = np.repeat(np.arange(len(lines)), sizes)
+    line = np.repeat(np.arange(len(lines)), windows)
     # A window starts at each of a line's code points but for the last k - 1.
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
-    starts = np.flatnonzero(left >= k)
+    starts = np.arange(len(line)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(windows) + windows, windows)
     hashes = mix(windowed(points, k)[starts]) if len(starts) else np.zeros(0, U64)
-    line = line[starts]
     short = np.flatnonzero((windows == 0) & (sizes > 0)).tolist()
     if short:
         own = np.array([hash_of(lines[i]) for i in short], U64)
@@ -60,13 +57,24 @@ def shingles(lines: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return hashes, line
 
 
+def coded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all lines, length of each)."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    return points, np.array([len(x) for x in lines], np.int64)
+
+
 def windowed(points: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive numbers, built from those of halves; as many as there are windows."""
     if k == 1:
         return points
     half = windowed(points, k // 2)
     n = max(len(points) - k + 1, 0)
-    out = half[:n] * U64(0x9E3779B97F4A7C15) + (half[k // 2 : k // 2 + n] ^ (half[k // 2 : k // 2 + n] >> U64(29)))
+    out, right = half[:n] * U64(0x9E3779B97F4A7C15), half[k // 2 : k // 2 + n]
+    if k > 3:  # code points have no bits beyond the 29th
+        more = right >> U64(29)
+        more ^= right
+        right = more
+    out += right
     return out if k % 2 == 0 else out * U64(0xD6E8FEB86659FD93) + points[k - 1 : k - 1 + n]
 
 
@@ -79,29 +87,52 @@ def hash_of(text: str) -> int:
 
 def signatures(lines: list[str], k: int = K, bins: int = BINS) -> np.ndarray:
     """One row of `bins` 32-bit numbers per line, empty bins filled from the next filled ones."""
-    out = np.full(len(lines) * bins, _EMPTY, np.uint32)
+    out = np.full(len(lines) * bins + 1, _EMPTY, np.uint32)  # the last one is for windows that go beyond their line
     pieces = [(i, x[at : at + LONG + k - 1]) for i, x in enumerate(lines) for at in range(0, max(len(x) - k + 1, 1), LONG)]
     for p, q in slices([len(x) for _, x in pieces], TOGETHER):
-        hashes, line = shingles([x for _, x in pieces[p:q]], k)
-        line = np.array([i for i, _ in pieces[p:q]], np.int64)[line]
-        place = ((hashes >> U64(40)) * U64(bins)) >> U64(24)
-        np.minimum.at(out, line * bins + place.astype(np.int64), (hashes & U64(0xFFFFFFFE)).astype(np.uint32))
-    out = out.reshape(len(lines), bins)
-    for step in range(1, bins):
-        gaps = (out == _EMPTY).any(axis=1)
-        if not gaps.any():
-            break
-        own = out[gaps]
-        filled = np.where(own == _EMPTY, np.roll(own, -1, axis=1), own)
-        # A borrowed value is altered by each step, so that it differs from the lender's own.
-        borrowed = (own == _EMPTY) & (filled != _EMPTY)
-        filled[borrowed] = (filled[borrowed] * np.uint32(2654435761)) & np.uint32(0xFFFFFFFE)
-        if (filled == own).all():
-            break
-        out[gaps] = filled
+        some = [x for _, x in pieces[p:q]]
+        points, sizes = coded(some)
+        first = np.array([i for i, _ in pieces[p:q]], np.int64) * bins
+        hashes = mix(windowed(points, k))
+        at = np.repeat(first, sizes)[: len(hashes)]
+        at += bin_of(hashes, bins)
+        beyond = (np.cumsum(sizes)[:-1, None] - np.arange(1, k)).ravel()
+        at[beyond[(beyond >= 0) & (beyond < len(at))]] = len(out) - 1
+        np.minimum.at(out, at, hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE))
+        short = np.flatnonzero((sizes < k) & (sizes > 0))
+        if len(short):
+            own = np.array([hash_of(some[i]) for i in short.tolist()], U64)
+            at = first[short] + bin_of(own, bins)
+            np.minimum.at(out, at, own.astype(np.uint32) & np.uint32(0xFFFFFFFE))
+    out = out[:-1].reshape(len(lines), bins)
+    gaps = np.flatnonzero((out == _EMPTY).any(axis=1))
+    for at in range(0, len(gaps), 256):
+        fill(out, gaps[at : at + 256], bins)
     return out
 
 
+def bin_of(hashes: np.ndarray, bins: int) -> np.ndarray:
+    """The bin of each hash, by its highest bits."""
+    return (((hashes >> U64(40)) * U64(bins)) >> U64(24)).view(np.int64)
+
+
+def fill(signs: np.ndarray, rows: np.ndarray, bins: int) -> None:
+    """Fills the empty bins of some rows from the next filled ones, around the end; a row without any stays empty.
+
+    A borrowed value is altered by each step, so that it differs from the lender's own.
+    """
+    own, far = signs[rows], 2 * bins
+    lender = np.where(own == _EMPTY, np.int16(far), np.arange(bins, dtype=np.int16))
+    lender = np.minimum.accumulate(lender[:, ::-1], axis=1)[:, ::-1]
+    lender = np.where(lender == far, lender[:, :1] + np.int16(bins), lender)
+    lender[lender >= far] = 0
+    steps = np.ones(bins, np.uint32)
+    steps[1:] = np.uint32(2654435761)
+    steps = np.multiply.accumulate(steps)
+    borrowed = np.take_along_axis(own, lender.astype(np.int64) % bins, axis=1) * steps[(lender - np.arange(bins, dtype=np.int16)) % bins]
+    signs[rows] = np.where(own == _EMPTY, np.where((own == _EMPTY).all(axis=1)[:, None], _EMPTY, borrowed), own)
+
+
 def band_keys(signs: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key per line and band."""
     rows = signs.shape[1] // bands
@@ -193,11 +224,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     # (id, hash of the text) names a row; rows equal in both are alike in everything that matters here.
     row = F.xxhash64(F.col(id_col).cast("string"), F.lit("\0"), F.col(text_col)).alias("row")
+    # An outer explode, as the optimizer would let a plain one split all texts once more to filter them; no text is without a line.
     lines = (
         df.where(F.col(text_col).isNotNull())
-        .select(row, F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
+        .select(row, F.col(id_col).alias("id"), F.split(F.col(text_col), "\n").alias("parts"))
+        .select("row", "id", F.posexplode_outer("parts").alias("at", "line"))
+        .where(F.trim("line") != "")
         .withColumn("line", folded(F.col("line")))
-        .where("line != ''")
         .select(F.xxhash64("line").alias("node"), "line", "id", "row", "at")
     )
     edges = bucket_edges(lines.select("node", "line"), _sign)
@@ -206,12 +239,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     comps = saved(linked(edges, saved(sketched(texts, sketch)), jaccard, compare, THRESHOLD))
     places = saved(lines.select("node", F.struct(F.col("id").isNull().alias("none"), "id", "row", "at").alias("place")))
     # Of each line that occurs twice or has a link: its occurrences, its first one and its component.
-    counted = places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    copies = saved(counted.join(small(comps), "node", "left").where("n > 1 or comp is not null"))
+    counted = places.groupBy("node").agg(F.count("*").alias("n"))
+    wanted = saved(counted.join(small(comps), "node", "left").where("n > 1 or comp is not null"))
+    places = saved(lookup(places, wanted, "node", "n"))
+    copies = saved(places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("comp").alias("comp")))
     leads = saved(copies.where("comp is not null").groupBy("comp").agg(F.min("first").alias("lead"), F.count("*").alias("m")))
     of_comp = lookup(copies.where("comp is not null"), leads, "comp", "m").select("node", "n", "lead")
     stays = saved(of_comp.union(copies.where("comp is null").select("node", "n", F.col("first").alias("lead"))))
-    gone = lookup(places, stays, "node", "n").where("place != lead").groupBy(F.col("place.row").alias("row")).agg(F.collect_set("place.at").alias("gone"))
+    gone = lookup(places.select("node", "place"), stays, "node", "n").where("place != lead").groupBy(F.col("place.row").alias("row")).agg(F.collect_set("place.at").alias("gone"))
     out = df.select(row, F.struct(*(f"`{x}`" for x in df.columns)).alias("doc")).join(small(saved(gone)), "row", "left")
     parts, text = F.split(F.col("doc")[text_col], "\n"), F.col("doc")[text_col]
     out = out.withColumn("parts", parts).withColumn("kept", F.when(F.col("gone").isNull(), F.lit(None)).otherwise(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")))

@@ -38,6 +38,49 @@ def test_components(spark):
     assert linking.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_links_of_one_part_need_no_rounds(spark, monkeypatch):
+    pick = random.Random(7)
+    links = [(pick.randrange(-200, 200), pick.randrange(-200, 200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    own, seen = linking.forget, []
+    monkeypatch.setattr(linking, "forget", lambda df: (seen.append(1), own(df)))
+    place = union(800, [(a + 300, b + 300) for a, b in links])
+    want = {x: place[x + 300] - 300 for link in links if link[0] != link[1] for x in link}
+    for rows, rounds in ((linking.FILE_ROWS, False), (20, True)):
+        monkeypatch.setattr(linking, "FILE_ROWS", rows)
+        seen.clear()
+        assert {r.node: r.comp for r in linking.components(df).collect()} == want
+        assert bool(seen) == rounds
+
+
+def test_only_edges_of_their_key_are_lone():
+    """Over map tasks and their flushes: an edge is lone if and only if its key has two nodes, unless one task saw both."""
+    pick = np.random.default_rng(5)
+    entries = [(pick.integers(0, 4000, 900), pick.integers(0, 5000, 900)) for _ in range(12)]
+    blobs = [x for k in range(4) for x in linking.send(iter(entries[3 * k : 3 * k + 3]), 5)]
+    table = pa.Table.from_batches(blobs).sort_by("part")
+    got = [r for batch in linking.receive(iter(table.to_batches(max_chunksize=50))) for r in batch.to_pylist()]
+    nodes = {}
+    for keys, own in entries:
+        for k, n in zip(keys.tolist(), own.tolist()):
+            nodes.setdefault(k, set()).add(n)
+    assert {r["key"] for r in got} == {k for k, own in nodes.items() if len(own) > 1}
+    for k, own in nodes.items():
+        ends = union(5000, [(r["a"], r["b"]) for r in got if r["key"] == k] if len(own) > 1 and k < 200 else [])
+        assert k >= 200 or len({ends[n] for n in own}) == 1
+    lone = [r for r in got if r["lone"]]
+    assert len(lone) > 100 and all({r["a"], r["b"]} == nodes[r["key"]] for r in lone)
+    assert sum(len(own) == 2 for own in nodes.values()) < 2 * len(lone)
+
+
+def test_borrowed_bins_are_altered_by_each_step():
+    signs = np.full((3, 4), 0xFFFFFFFF, np.uint32)
+    signs[0, 1], signs[1] = 10, [2, 4, 6, 8]
+    lines.fill(signs, np.arange(3), 4)
+    c = 2654435761
+    assert signs.tolist() == [[10 * c % 2**32, 10, 10 * c**3 % 2**32, 10 * c**2 % 2**32], [2, 4, 6, 8], [0xFFFFFFFF] * 4]
+
+
 def test_pairs_of_lines_and_blocks():
     pick = random.Random(4)
     bases = ["".join(pick.choice("abcdefgh ") for _ in range(120)) for _ in range(4)]
