@@ -12,7 +12,8 @@ overlap holds no such boundary it is doubled; once it reaches the left chunk's b
 widened, at last up to the text's end.
 
 A text of one chunk needs no splicing. Its ids come from bounded memos that the library fills: of
-runs between ASCII white space, and of the words in them where the pre-tokenizer is known. The library with
+runs between ASCII white space, and of the words in them where the pre-tokenizer is known. Plain texts are
+cut into these words as bytes, many texts at once, and each different word is looked up once. The library with
 all its rules (special strings, normalisation, merges) therefore decides every id.
 
 Null texts count as empty. Empty texts have no tokens. Repeated rows are counted once each.
@@ -22,21 +23,28 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm.common import CHUNK, arrow_map, slices, texts
+from pointloom.llm.common import arrow_map, slices, texts
 from pointloom.session import table
 
 #: Characters of a chunk and of the first overlap, entries of a memo, longest remembered run in bytes.
 CHUNK_CHARS, OVERLAP, MEMO, LONGEST = 1 << 14, 256, 250_000, 64
+#: Bytes of short texts whose different parts are looked up together.
+TOGETHER = 1 << 21
 #: Characters that the normaliser keeps or lowers one by one, whatever stands beside them.
 _PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 _PLAIN_TEXT = re.compile("[\t-\r -&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*")
 _PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+#: Kinds of the bytes of a lower-case plain text: every byte beyond ASCII belongs to a letter.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(9, 14), 32]], _KIND[[*range(97, 123), *range(128, 256)]], _KIND[48:58] = _SPACE, _LETTER, _DIGIT
 _encoders: dict = {}
 
 
@@ -59,6 +67,8 @@ class Memo(dict):
     def __init__(self, model: str) -> None:
         super().__init__()
         self.parts: dict[str, bytes] = {}
+        #: Parts that came again after they had become known, since the memo was last full.
+        self.again: set[str] = set()
         if model.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -97,6 +107,17 @@ class Memo(dict):
         space = [self.apart and 0 < x < len(text) and text[x] == " " and text[x - 1].isascii() and not text[x - 1].isspace() for x in starts.tolist()]
         return starts, ids, np.array(space, bool)
 
+    def meet(self, parts: Collection[str]) -> None:
+        """Makes all these different parts known; a full memo first forgets those that came once, and what is beyond half of it."""
+        if len(self.parts) > MEMO:
+            self.parts = {x: self.parts[x] for x in islice(self.again, MEMO // 2)}
+            self.again = set()
+        unknown = [x for x in parts if x not in self.parts]
+        self.again.update(parts)
+        if unknown:
+            self.again.difference_update(unknown)
+            self.learn(sorted(unknown))
+
     def learn(self, parts: list[str]) -> None:
         """Encodes parts, each of them one word of the pre-tokenizer."""
         for i in range(0, len(parts), 400):
@@ -119,8 +140,7 @@ class Memo(dict):
         if len(self) + len(new) > MEMO:
             self.clear()
         cut = [(x, _PART.findall(text.lower())) for x in new if _PLAIN.fullmatch(text := x.decode("utf-8", "replace"))]
-        if unknown := {y for _, parts in cut for y in parts}.difference(self.parts):
-            self.learn(sorted(unknown))
+        self.meet({y for _, parts in cut for y in parts})
         get = self.parts.__getitem__
         for x, parts in cut:
             self[x] = b"".join(map(get, parts))
@@ -200,22 +220,41 @@ def batch_ids(column: pa.Array, memo: Memo, chunk: int = CHUNK_CHARS) -> Iterato
 
 
 def _some_ids(rows: list[bytes], memo: Memo, chunk: int) -> Iterator[tuple[bytes, bytes]]:
-    for i, j in slices([len(x) for x in rows], CHUNK):
+    for i, j in slices([len(x) for x in rows], TOGETHER):
         long: dict[int, str] = {k: text for k in range(i, j) if len(rows[k]) > chunk and len(text := rows[k].decode("utf-8", "replace")) > chunk}
-        cut: list[list[str] | None] = [None] * (j - i)
+        plain: dict[int, bytes] = {}
         if memo.cuts:
-            for k in range(i, j):
-                if k not in long and _PLAIN_TEXT.fullmatch(text := rows[k].decode("utf-8", "replace")):
-                    cut[k - i] = _PART.findall(text.lower())
-            if len(memo.parts) > MEMO:
-                memo.parts.clear()
-            if unknown := set().union(*filter(None, cut)).difference(memo.parts):
-                memo.learn(sorted(unknown))
-            memo.fill({x for k in range(i, j) if cut[k - i] is None and k not in long for x in rows[k].split()})
-        get = memo.parts.__getitem__
+            lower = {k: text.lower().encode() for k in range(i, j) if k not in long and _PLAIN_TEXT.fullmatch(text := rows[k].decode("utf-8", "replace"))}
+            plain = dict(zip(lower, plain_ids(list(lower.values()), memo)))
+            memo.fill({x for k in range(i, j) if k not in plain and k not in long for x in rows[k].split()})
         for k in range(i, j):
-            parts = cut[k - i]
-            yield rows[k], document_ids(long[k], memo, chunk) if k in long else short_ids(rows[k], memo) if parts is None else b"".join(map(get, parts))
+            yield rows[k], document_ids(long[k], memo, chunk) if k in long else plain[k] if k in plain else short_ids(rows[k], memo)
+
+
+def plain_ids(rows: list[bytes], memo: Memo) -> list[bytes]:
+    """All ids of each of some lower-case plain texts, cut as _PART does; each different part is looked up once."""
+    if not rows:
+        return []
+    data, begins = b" ".join([*rows, b""]), np.zeros(len(rows) + 1, np.int64)
+    np.cumsum([len(x) + 1 for x in rows], out=begins[1:])
+    kind = _KIND[np.frombuffer(data, np.uint8)]
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    cuts = np.flatnonzero(new).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+    parts, at = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(pieces.indices)
+    memo.meet([x for x in parts if not x.isspace()])
+    own = [b"" if x.isspace() else memo.parts[x] for x in parts]
+    # The ids of the different parts in a row, and for each id of the texts its place there.
+    sizes, every = np.array([len(x) // 4 for x in own], np.int64), np.frombuffer(b"".join(own), "<u4")
+    n = sizes[at]
+    ends = np.cumsum(n)
+    place = np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n)
+    place += np.arange(len(place))
+    ids = every[place].tobytes()
+    # A text begins after its predecessor's last space, which no id belongs to.
+    edge = 4 * np.concatenate([[0], ends])[np.searchsorted(cuts, begins)]
+    return [ids[p:q] for p, q in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
 def count_tokens(df: DataFrame, model: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS) -> DataFrame:

@@ -69,6 +69,28 @@ def test_batches_of_plain_and_odd_texts(library):
     assert got == [library.encode(x or "", add_special_tokens=False).ids for x in rows]
 
 
+def test_plain_texts_are_cut_as_the_pre_tokenizer_does(library):
+    memo, pick = tokens.encoder(tokens.vocabulary()), random.Random(6)
+    alphabet = [*"abcxyz0123456789éßÿžñ .,!-+\t\n\r\x0b\x0c", "  ", "word ", "année "]
+    rows = ["".join(pick.choice(alphabet) for _ in range(pick.randint(0, 80))) for _ in range(400)] + ["", " ", "\n", "a"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.plain_ids([x.encode() for x in rows], memo)]
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in rows]
+    assert tokens.plain_ids([], memo) == []
+
+
+def test_full_memo_keeps_what_comes_again(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 60)
+    memo, learned = tokens.Memo(tokens.vocabulary()), []
+    own = memo.learn
+    monkeypatch.setattr(memo, "learn", lambda parts: (learned.extend(parts), own(parts)))
+    common = ["the", "of", "and"]
+    for n in range(12):
+        rows = [" ".join([*common, *("".join(pick) for pick in zip("abcdefghij", "klmnopqrst" * 2, chr(97 + n) * 10))])]
+        got = [np.frombuffer(ids, "<u4").tolist() for _, ids in tokens.batch_ids(pa.array(rows), memo)]
+        assert got == [library.encode(x, add_special_tokens=False).ids for x in rows]
+    assert len(learned) == 123 and all(learned.count(x) == 1 for x in common) and len(memo.parts) <= 60 + 13
+
+
 def test_long_text_without_white_space(library):
     memo, text = tokens.encoder(tokens.vocabulary()), "a" * 3000 + "." * 50 + "é" * 1000
     assert len(tokens.document_ids(text, memo, 64, 8)) // 4 == len(library.encode(text, add_special_tokens=False).ids)
