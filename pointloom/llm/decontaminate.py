@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ALNUM, U64, arrow_map, found, grams, joined, mix, slices, split_words, texts
+from pointloom.llm.common import ALNUM, U64, arrow_map, found, grams, joined, mix, released, slices, split_words, texts
 from pointloom.session import shared_dir, table
 
 WINDOW, K, BLOCK_BYTES = 10, 5, 8 << 20
@@ -219,7 +219,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text
         if n:
             shared_dir(spark)
             df = df.checkpoint()
-        df, n = df.mapInArrow(_clean(spark.sparkContext.broadcast(Fingerprints(rows)), at), documents.schema), n + 1
+        df, n = df.mapInArrow(released(_clean(spark.sparkContext.broadcast(Fingerprints(rows)), at)), documents.schema), n + 1
     return df
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import arrow_map, keyed_mod, slices, texts
+from pointloom.llm.common import arrow_map, keyed_mod, released, slices, texts
 from pointloom.session import table
 
 BUCKETS, MAX_TRAIN_DOCS, ORDERS, SMOOTHING = 1 << 15, 8192, (2, 3), 0.5
@@ -162,7 +162,7 @@ def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: s
                 ok += [lang != "und" and score >= least for lang, score in zip(langs, scores)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

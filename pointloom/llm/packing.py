@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import arrow_map
-from pointloom.llm.tokens import batch_ids, encoder, vocabulary
+from pointloom.llm.tokens import USES, batch_ids, encoder, vocabulary
 from pointloom.session import table
 
 #: Characters beyond which a text is encoded in overlapping chunks; memos are faster than the library's offsets.
@@ -71,7 +71,7 @@ def pack(df: DataFrame, model: str | None = None, longest: int = 2048, end_id: i
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
-    return arrow_map(df, [id_col, text_col], run, schema).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
+    return arrow_map(df, [id_col, text_col], run, schema, USES).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm.common import arrow_map, slices, texts
+from pointloom.llm.common import arrow_map, leave, slices, texts
 from pointloom.session import table
 
 #: Characters of a chunk and of the first overlap, entries of a memo, longest remembered run in bytes.
@@ -46,6 +46,8 @@ _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[[*range(9, 14), 32]], _KIND[[*range(97, 123), *range(128, 256)]], _KIND[48:58] = _SPACE, _LETTER, _DIGIT
 _encoders: dict = {}
+#: The name under which encoders stay in a worker.
+USES = "encoders"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -155,11 +157,12 @@ class Memo(dict):
 
 
 def encoder(model: str) -> Memo:
-    """The worker's encoder of a vocabulary file; it stays for later tasks of the same worker."""
+    """The worker's encoder of a vocabulary file; it stays for later tasks of the same worker, until the worker serves another operator."""
     key = (model, os.getpid())
     if key not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[key] = Memo(model)
+        leave(USES, _encoders.clear)
     return _encoders[key]
 
 
@@ -277,7 +280,7 @@ def count_tokens(df: DataFrame, model: str | None = None, limit: int = 2048, id_
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df, [id_col, text_col], run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return arrow_map(df, [id_col, text_col], run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", USES)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

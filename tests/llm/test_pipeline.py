@@ -25,3 +25,26 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    from pointloom.session import BATCH_BYTES
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    rows = [(i, "some words of a text " * 2000, "en", "s", 42000) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in (P.STAGES[0], P.STAGES[3]):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert stage(spark, docs, str(tmp_path)).count() == 400
+        seen = [r.n for r in docs.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(seen) > 16_000_000 and max(seen) < BATCH_BYTES + 100_000, name
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    P.STAGES[0][1](spark, docs, str(tmp_path))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")

@@ -129,3 +129,14 @@ def test_packing_is_a_partition_into_powers(spark, library):
         assert all(r.doc_tokens == len(want) for r in out if r.doc_id == doc)
     assert packing.lengths(2048 * 2 + 5) == [2048, 2048, 4, 1] and packing.lengths(0) == []
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_encoders_go_when_a_worker_serves_others():
+    from pointloom.llm.common import released
+
+    memo = tokens.encoder(tokens.vocabulary())
+    list(released(iter, tokens.USES)(iter([])))
+    assert tokens.encoder(tokens.vocabulary()) is memo
+    list(released(iter)(iter([])))
+    assert not tokens._encoders
+    assert tokens.encoder(tokens.vocabulary()) is not memo
